@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -23,9 +24,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, texts
 
-_CACHE = 150_000
+_CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -78,34 +79,72 @@ def serialised(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normalizer)
 
 
+#: For text of code points below 256, ``re`` with the pattern's classes spelled out finds the same pre-tokens sooner.
+_LETTER, _DIGIT, _BLANK = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+
+
+def _narrow(pattern: str) -> re.Pattern | None:
+    """The pattern for Latin-1 text, where its classes are known."""
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_BLANK}{_LETTER}{_DIGIT}]").replace(r"\p{L}", f"[{_LETTER}]").replace(r"\p{N}", f"[{_DIGIT}]").replace(r"\s", f"[{_BLANK}]").replace(r"\S", f"[^{_BLANK}]")
+    return None if "\\" in out.replace("\\t", "") else re.compile(out)
+
+
 class Codec:
     """Encodes and decodes with the ranks of one file and one pre-token pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
         self.bytes = sorted(ranks, key=ranks.__getitem__)
-        self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def pre_token(self, token: str) -> tuple[int, ...]:
-        return tuple(self.model.encode(mapped(token.encode("utf-8", "replace"))))
-
-    def encode(self, text: str) -> list[int]:
-        tokens = self.split(text)
-        cache = self.cache
-        new = set(tokens) - cache.keys()
+        self.wide = regex.compile(pattern).findall
+        narrow = _narrow(pattern)
+        self.narrow = narrow.findall if narrow else self.wide
+        #: pre-token -> (ids, their decimals joined by a space, the bytes that they decode to)
+        self.cache: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)
+
+    def learn(self, tokens: set[str]) -> None:
+        """Encode pre-tokens that the cache lacks, and decode their ids."""
+        new = [t for t in tokens if t not in self.cache]
+        if len(self.cache) + len(new) > _CACHE:
+            self.cache.clear()
+            new = list(tokens)
         if new:
-            if len(cache) + len(new) > _CACHE:
-                cache.clear()
-                new = set(tokens)
-            order = list(new)
-            for t, ids in zip(order, self.model.encode([mapped(t.encode("utf-8", "replace")) for t in order], num_threads=1)):
-                cache[t] = tuple(ids)
-        return list(chain.from_iterable(map(cache.__getitem__, tokens)))
+            for t, ids in zip(new, self.model.encode([mapped(t.encode("utf-8", "replace")) for t in new], num_threads=1)):
+                self.cache[t] = (tuple(ids), " ".join(map(str, ids)), self.decode(ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def pieces(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """For each text the encodings of its pre-tokens."""
+        split = [self.split(x) for x in texts]
+        self.learn(set(chain.from_iterable(split)))
+        for tokens in split:
+            yield list(map(self.cache.__getitem__, tokens))
+
+    def encode(self, text: str) -> list[int]:
+        (found,) = self.pieces([text])
+        return list(chain.from_iterable(p[0] for p in found))
+
+
+def _slices(texts: Iterable[str], most: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters at most (one text at least)."""
+    now, n = [], 0
+    for x in texts:
+        if now and n + len(x) > most:
+            yield now
+            now, n = [], 0
+        now.append(x)
+        n += len(x)
+    if now:
+        yield now
+
 
 def coded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row, and with ``with_ids`` the ids.
@@ -118,16 +157,15 @@ def coded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
-        text_of = [str(i) for i in range(len(codec.bytes))].__getitem__
         for part in parts:
             n, one, two, lists = [], [], [], []
-            for x in part.column(1):
-                ids = codec.encode(x.as_py() or "")
-                n.append(len(ids))
-                one.append(hashlib.sha256(" ".join(map(text_of, ids)).encode()).hexdigest())
-                two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                if with_ids:
-                    lists.append(ids)
+            for some in _slices(texts(part.column(1))):
+                for found in codec.pieces(some):
+                    n.append(sum(len(p[0]) for p in found))
+                    one.append(hashlib.sha256(" ".join([p[1] for p in found]).encode()).hexdigest())
+                    two.append(hashlib.sha256(b"".join([p[2] for p in found])).hexdigest())
+                    if with_ids:
+                        lists.append(list(chain.from_iterable(p[0] for p in found)))
             cols = [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 

@@ -48,12 +48,14 @@ def texts(column: pa.Array) -> Iterator[str]:
 
 # ---------------------------------------------------------------- vectorised shingles
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = np.zeros(256, np.int8)
+_SPACE[[9, 10, 11, 12, 13, 32]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[[9, 10, 11, 12, 13, 32]] = 0
+_LOWER_BYTE = _BYTE[_LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(4096, np.uint64)
 with np.errstate(over="ignore"):
@@ -62,35 +64,33 @@ with np.errstate(over="ignore"):
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    """The finaliser of splitmix64 (array arithmetic wraps silently)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def word_hashes(data: bytes | np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of every word of one text, in order, without a Python loop."""
-    b = np.frombuffer(data, np.uint8) if isinstance(data, (bytes, memoryview)) else data
+    b = np.frombuffer(data, np.uint8) if isinstance(data, (bytes, memoryview, pa.Buffer)) else data
     if not len(b):
         return np.empty(0, np.uint64)
-    space = _SPACE[b]
-    start = ~space
-    start[1:] &= space[:-1]
-    at = np.flatnonzero(start)
+    # words begin and end where the kind of byte changes
+    kind = np.empty(len(b) + 2, np.int8)
+    kind[0] = kind[-1] = 1
+    np.take(_SPACE, b, out=kind[1:-1])
+    turns = np.flatnonzero(kind[1:] != kind[:-1])
+    at, end = turns[::2], turns[1::2]
     if not len(at):
         return np.empty(0, np.uint64)
-    if lower:
-        b = _LOWER[b]
-    nth = np.cumsum(start) - 1
-    offset = np.arange(len(b)) - at[np.maximum(nth, 0)]
-    with np.errstate(over="ignore"):
-        v = _BYTE[b] * _POWERS[offset & 4095] + (offset >> 12).astype(np.uint64) * _STEP
-        v[space] = 0
-        sums = np.add.reduceat(v, at)
-    lengths = np.add.reduceat((~space).astype(np.uint64), at)
-    with np.errstate(over="ignore"):
-        return mix64(sums + lengths * _STEP)
+    size = end - at
+    place = np.arange(len(b), dtype=np.int64)
+    place -= np.repeat(at, np.diff(at, append=len(b))) if at[0] == 0 else np.concatenate([np.zeros(at[0], np.int64), np.repeat(at, np.diff(at, append=len(b)))])
+    v = (_LOWER_BYTE if lower else _BYTE)[b]
+    v *= _POWERS[place & 4095]
+    if size.max() > 4096:
+        v += (place >> 12).astype(np.uint64) * _STEP * (kind[1:-1] == 0)
+    return mix64(np.add.reduceat(v, at) + size.astype(np.uint64) * _STEP)
 
 
 def shingles(data: bytes, width: int, lower: bool = True) -> np.ndarray:
@@ -102,11 +102,17 @@ def shingles(data: bytes, width: int, lower: bool = True) -> np.ndarray:
     if not len(w):
         return w
     n = min(width, len(w))
-    with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, n, np.uint64)
-        for i in range(n):
-            h = mix64(h * _STEP + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    h = np.full(len(w) - n + 1, n, np.uint64)
+    for i in range(n):
+        h *= _STEP
+        h += w[i : len(w) - n + 1 + i]
+        h ^= h >> np.uint64(29)
+    h = mix64(h)
+    h.sort()
+    keep = np.empty(len(h), bool)
+    keep[0] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
 
 
 # ---------------------------------------------------------------- connected components
