@@ -56,9 +56,9 @@ def unfold(src: ArrayFrame) -> ArrayFrame:
     """Attributes of one type become a dimension."""
     s = src.schema
     need(len({a.type for a in s.attrs}) == 1, "unfold: attributes have different types")
-    d, v = fresh(f"unfold_{len(s.dims)}", s.names), "value"
+    d, v = fresh(f"unfold_{len(s.dims)}", s.names), s.attrs[0].name
     df = src.df.select(*src.cols(*s.dim_names), F.posexplode(F.array(*src.cols(*s.attr_names))).alias("__p", "__value"))
-    out = ArraySchema((Attr(fresh(v, [*s.dim_names, d]), s.attrs[0].type, True),), (*s.dims, Dim(d, 0, len(s.attrs) - 1, len(s.attrs))), s.name)
+    out = ArraySchema((Attr(v, s.attrs[0].type, True),), (*s.dims, Dim(d, 0, len(s.attrs) - 1, len(s.attrs))), s.name)
     return ArrayFrame(df.select(*src.cols(*s.dim_names), F.col("__p").cast("bigint").alias(d), F.col("__value").alias(out.attrs[0].name)), out)
 
 

@@ -331,7 +331,7 @@ def old_unpack(t: Read):
     return nation(t).old_unpack("x")
 
 
-@query("SELECT p_partkey, 0 AS unfold_1, p_retailprice AS value FROM part UNION ALL SELECT p_partkey, 1, p_retailprice * 2 FROM part")
+@query("SELECT p_partkey, 0 AS unfold_1, p_retailprice FROM part UNION ALL SELECT p_partkey, 1, p_retailprice * 2 FROM part")
 def unfold(t: Read):
     return part(t).apply("twice", "p_retailprice * 2").project("p_retailprice", "twice").unfold()
 

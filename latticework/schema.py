@@ -134,6 +134,9 @@ def parse_schema(text: str) -> ArraySchema:
         i += 1
         return t[i - 1]
 
+    def peek(n: int = 0) -> str:
+        return t[i + n] if i + n < len(t) else ""
+
     name = take() if t and t[0] != "<" else ""
     if name.lower() == "not":
         name = ""
@@ -145,7 +148,7 @@ def parse_schema(text: str) -> ArraySchema:
         kind = take().lower()
         need(kind in TYPES, f"unknown type {kind}")
         nullable, default = False, None
-        while t[i] not in (",", ">"):
+        while peek() not in (",", ">"):
             word = take().lower()
             if word == "null":
                 nullable = True
@@ -164,26 +167,26 @@ def parse_schema(text: str) -> ArraySchema:
             break
     take("[")
     dims: list[Dim] = []
-    while t[i] != "]":
+    while peek() != "]":
         d = take()
         lo, hi, chunk, overlap = 0, None, None, 0
-        if t[i] == "=":
+        if peek() == "=":
             take()
             first = take()
-            if t[i] == ":":
+            if peek() == ":":
                 take()
                 lo, last = int(first), take()
                 hi = None if last == "*" else int(last)
             else:
                 hi = None if first == "*" else int(first) - 1
-            if t[i] == ",":
+            if peek() == "," and peek(1).isdigit():
                 take()
                 chunk = int(take())
-                if t[i] == ",":
+                if peek() == "," and peek(1).isdigit():
                     take()
                     overlap = int(take())
         dims.append(Dim(d, lo, hi, chunk or (hi - lo + 1 if hi is not None else 1_000_000), overlap))
-        if t[i] == ",":
+        if peek() == ",":
             take()
     take("]")
     return ArraySchema(tuple(attrs), tuple(dims), name)
