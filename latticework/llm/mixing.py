@@ -10,8 +10,8 @@ step decides at least one of them: a stream with a state of three documents a so
 Long documents come first, so that what stays undecided is short.
 
 Blocks of documents fly by themselves, each leaving at most two undecided; those fly
-together in the next level, a level of fewer blocks each time, down to at most two a source.
-The landing rounds these one by one (dropping the constraints, keeping the chances).
+together in the next level, a level of fewer blocks each time. The last level, of one block's
+size in all, keeps a reserve of each source back; the landing decides these few documents together.
 Blocks come from hashes of the rows and steps from seeded hashes, so reruns agree however
 the rows are partitioned, and no task holds a source.
 """
@@ -105,15 +105,75 @@ class Flight:
         yield from ((row, p) for row, _, p in self.hand)
         self.hand = []
 
-    def land(self) -> Iterator[tuple[int, float]]:
-        """Round what is left, one by one, each with its chance."""
-        for row, _, p in self.hand:
-            self.state, r = _uniform(self.state)
-            yield row, float(r < p)
-        self.hand = []
+
+#: Documents of a source that are kept back for the landing.
+RESERVE = 32
+
+
+def landed(sizes: np.ndarray, chances: np.ndarray, seed: int) -> np.ndarray:
+    """0 or 1 for each document of a source's last group, in order of falling size.
+
+    All but a reserve spread over the sizes fly. The reserve and what the flight leaves make the landing
+    problem: from seeded draws by their chances, single changes and exchanges are made as long as
+    they bring the totals of words, then documents, nearer; the best of several draws is taken.
+    """
+    out = chances.copy()
+    open_ = np.flatnonzero((chances > 0) & (chances < 1))
+    kept = set(open_[np.unique(np.linspace(0, len(open_) - 1, min(RESERVE, len(open_))).astype(int))].tolist()) if len(open_) else set()
+    flight = Flight(seed)
+    for i in open_:
+        if i not in kept:
+            for k, p in flight.add(int(i), float(sizes[i]), float(chances[i])):
+                out[k] = p
+    for k, p in flight.end():
+        out[k] = p
+    at = np.flatnonzero((out > 0) & (out < 1))
+    if not len(at):
+        return out
+    z, p = sizes[at].astype(np.float64), out[at]
+    words, docs, light = float(z @ p), float(p.sum()), 1e-3 * max(1.0, float(np.median(z)))
+    state, best = flight.state, None
+
+    def cost(w: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return abs(w - words) + light * abs(d - docs)
+
+    for _ in range(16):
+        draw = np.empty(len(at))
+        for j in range(len(at)):
+            state, draw[j] = _uniform(state)
+        x = (draw < p).astype(np.float64)
+        now = float(cost(z @ x, x.sum()))
+        for _ in range(200):
+            flip = 1 - 2 * x
+            dz = z * flip
+            one = cost(z @ x + dz, x.sum() + flip)
+            two = cost(z @ x + dz[:, None] + dz[None, :], x.sum() + flip[:, None] + flip[None, :])
+            np.fill_diagonal(two, one)
+            i, j = np.unravel_index(int(np.argmin(two)), two.shape)
+            if two[i, j] >= now - 1e-9:
+                break
+            now = float(two[i, j])
+            for k in {int(i), int(j)}:
+                x[k] = 1 - x[k]
+        if best is None or now < best[0]:
+            best = (now, x)
+    out[at] = best[1]
+    return out
+
+
+def _land(rows: DataFrame, seed: int) -> DataFrame:
+    """The last level, of about BLOCK rows in all: a group for each source."""
+    names = rows.columns
+
+    def run(pdf):
+        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf["chance"] = landed(pdf["size"].to_numpy(), pdf["chance"].to_numpy(), seed * 0x9E3779B9 + int(pdf["source_no"].iloc[0]) + 1)
+        return pdf[names]
+
+    return rows.groupBy("source_no").applyInPandas(run, rows.schema)
 
 
-def _fly(rows: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
+def _fly(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
     """One level over rows (h, source_no, size, chance, ...): same rows with new chances."""
     block = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(blocks)).cast("int")
     ready = rows.withColumn("block", block).repartition("block", "source_no").sortWithinPartitions("block", "source_no", F.desc("size"), "h", "doc_id")
@@ -135,7 +195,7 @@ def _fly(rows: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
                 at = (block[i], source[i])
                 if at != now:
                     if flight is not None:
-                        for (w, j), p in [*(flight.end() if not land else flight.land())]:
+                        for (w, j), p in [*flight.end()]:
                             if w is None:
                                 chance[j], done[j] = p, True
                             else:
@@ -150,7 +210,7 @@ def _fly(rows: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
                 flight.hand = [((part.slice(x[0][1], 1) if x[0][0] is None else x[0][0], 0), x[1], x[2]) for x in flight.hand]
             yield out(part, chance).filter(pa.array(done))
         if flight is not None:
-            for (w, _), p in [*(flight.end() if not land else flight.land())]:
+            for (w, _), p in [*flight.end()]:
                 yield out(w, np.array([p]))
 
     return ready.mapInArrow(run, ready.schema).drop("block")
@@ -180,16 +240,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, ceiling
     rate = {s: want[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
     table = spark.createDataFrame([(s, number[s], sizes[s], float(want[s]), int(rate[s] + 1e-12), max(0.0, rate[s] - int(rate[s] + 1e-12))) for s in sizes] or [(None, 0, 0, 0.0, 0, 0.0)], "source string, source_no int, source_size long, target double, whole long, chance double")
     flying = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]), "left").drop(table["source"])
-    left = max(1, sum(int(r["n"]) for r in totals))
+    blocks = max(1, -(-sum(int(r["n"]) for r in totals) // block))
     level, decided = 0, None
     while True:
-        blocks = max(1, -(-left // block))
-        flying = written(_fly(flying, blocks, seed + level, blocks == 1), "flight")
+        flying = written(_fly(flying, blocks, seed + level) if blocks > 1 else _land(flying, seed), "flight")
         part = flying.where("chance in (0d, 1d)")
         decided = part if decided is None else decided.unionByName(part)
         if blocks == 1:
             break
         flying = flying.where("chance > 0d and chance < 1d")
-        left, level = 2 * blocks * len(sizes), level + 1
+        # at most two are left of each source in a block; a level has at most a fourth of the blocks
+        blocks, level = max(1, min(blocks // 4, -(-2 * blocks * len(sizes) // block))), level + 1
     copies = F.col("whole") + F.col("chance").cast("long")
     return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
