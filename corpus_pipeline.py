@@ -39,12 +39,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     prepare(spark)
     found = minhash.near_duplicates(docs, width=5, per_cent=80)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    # ids are unique in documents; rows repeating one are reduced to one row
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = named.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
-    one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # texts are shuffled once, against a hash table of ids, at every size alike
+    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id")
+    single = named.where("n = 1").select(*COLUMNS)
+    one = named.where("n > 1").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
     return single.unionByName(one).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
@@ -54,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # equal rows share their copies
     copies = mixing.mix(docs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
     keyed = docs.select(*COLUMNS).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")))
-    taken = keyed.join(copies.where("copies > 0"), "h")
+    taken = keyed.join(copies.where("copies > 0").hint("shuffle_hash"), "h")
     each = F.expr("sequence(1, cast(copies div n as int))")
     out = taken.where("copies >= n").withColumn("i", F.explode(each)).select(*COLUMNS)
     rest = taken.where("n > 1 and copies % n > 0").groupBy("h").agg(F.first(F.struct(*COLUMNS)).alias("x"), F.first(F.expr("cast(copies % n as int)")).alias("k"))
