@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-MAX_PER_LABEL, LEXICON, STEMS, LEAST_RATIO, CAP = 20_000, 4000, (4, 5, 6), 14.0, 6.0
+MAX_PER_LABEL, LEXICON, STEMS, LEAST_RATIO, LEAST_ODDS, CAP = 20_000, 4000, (4, 5, 6), 14.0, 4.3, 6.0
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n…]+")
 
@@ -103,10 +103,14 @@ def ratio(pos: float, neg: float, p: float, n: float) -> float:
 
 
 def weight(pos: float, neg: float, p: float, n: float) -> float:
-    """Log odds ratio, at most CAP; 0 where the test isn't passed."""
+    """Log odds ratio, at most CAP; 0 where the test isn't passed or it is below LEAST_ODDS.
+
+    A word that toxic documents merely have more often, as the longer ones, isn't an insult.
+    """
     if ratio(pos, neg, p, n) < LEAST_RATIO:
         return 0.0
-    return min(CAP, math.log((pos + 0.5) / (p - pos + 0.5)) - math.log((neg + 0.5) / (n - neg + 0.5)))
+    w = min(CAP, math.log((pos + 0.5) / (p - pos + 0.5)) - math.log((neg + 0.5) / (n - neg + 0.5)))
+    return w if w >= LEAST_ODDS else 0.0
 
 
 class Scorer:
@@ -219,8 +223,7 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column) -> dict:
     if not p or not n:
         return DEFAULT
     kept = [(weight(r["pos"], r["neg"], p, n), r["feature"], r["pos"], r["neg"]) for r in top[1:]]
-    # a stem has to be about as clean as its words
-    kept = sorted((x for x in kept if x[0] >= 2.0), key=lambda x: (-x[0] * x[2], x[1]))[:LEXICON]
+    kept = sorted((x for x in kept if x[0] > 0), key=lambda x: (-x[0] * x[2], x[1]))[:LEXICON]
     lexicon = {f: (float(a), float(b)) for _, f, a, b in kept}
     model = {"lexicon": lexicon, "seeds": {}, "p": float(p), "n": float(n), "coef": [-1.0, 2.0, 0.0]}
     shared = docs.sparkSession.sparkContext.broadcast(model)
