@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .common import prepare
 
 DOCS_PER_LANGUAGE, WORDS, GRAMS, LANGUAGES = 4000, 60_000, 60_000, 256
@@ -59,7 +60,7 @@ def learned(docs: DataFrame, may_learn: Column) -> dict:
             for i in range(0, len(rows), 8192):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i : i + 8192])], names=["lang", "kind", "token", "n"])
 
-    all_counts = sample.mapInArrow(run, "lang string, kind long, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+    all_counts = written(sample.mapInArrow(run, "lang string, kind long, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), "counts")
     top = all_counts.where("kind = 0").orderBy(F.desc("n"), "token", "lang").limit(WORDS).unionByName(all_counts.where("kind > 0").orderBy(F.desc("n"), "kind", "token", "lang").limit(GRAMS))
     table: dict[tuple[int, str], np.ndarray] = {}
     for r in top.collect():  # at most WORDS + GRAMS rows
@@ -68,7 +69,7 @@ def learned(docs: DataFrame, may_learn: Column) -> dict:
     for kind in range(5):
         own = {t: v for (k, t), v in table.items() if k == kind}
         total = np.sum(list(own.values()), axis=0) if own else np.ones(len(langs))
-        out[kind] = {t: np.log((v + 0.5) / (total + 0.5 * len(own))).astype(np.float32) for t, v in own.items()}
+        out[kind] = {t: tuple(np.log((v + 0.5) / (total + 0.5 * len(own))).tolist()) for t, v in own.items()}
     return {"langs": langs, "words": out[0], "grams": {n: out[n] for n in (1, 2, 3, 4)}}
 
 
@@ -77,17 +78,23 @@ class Scorer:
         self.model, self.langs = model, model["langs"]
         self.rows = np.zeros((_CACHE, max(1, len(self.langs))), np.float32)
         self.at: dict[str, int] = {}
+        self.words = model["words"]
+        self.orders = [(n, model["grams"].get(n, {}).get) for n in (4, 3, 2, 1)]
+        self.none = (0.0,) * len(self.langs)
 
-    def value(self, word: str) -> np.ndarray:
+    def value(self, word: str) -> tuple[float, ...]:
         """Log frequency of a word by language."""
-        v = self.model["words"].get(word)
+        v = self.words.get(word)
         if v is not None:
             return v
-        for n in (4, 3, 2, 1):
-            known = [x for x in map(self.model["grams"][n].get, grams(word, n)) if x is not None]
+        w = f"<{word}>"
+        for n, get in self.orders:
+            m = len(w) - n + 1
+            known = [x for x in map(get, [w[i : i + n] for i in range(m)] if n > 1 else word) if x is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                k = len(known)
+                return tuple([sum(c) / k for c in zip(*known)]) if k > 1 else known[0]
+        return self.none
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall(text.lower())) if text else None
