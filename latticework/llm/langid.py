@@ -98,7 +98,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall(text.lower())) if text else None
-        if not counts or not self.langs:
+        if not counts or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         total, seen = np.zeros(len(self.langs)), sum(counts.values())
         items = list(counts.items())

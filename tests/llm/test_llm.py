@@ -392,7 +392,7 @@ def test_backoff():
     model = {"langs": ["a", "b"], "words": {"the": (-1.0, -5.0)}, "grams": {4: {}, 3: {"zzz": (-9.0, -1.0)}, 2: {}, 1: {"q": (-2.0, -3.0)}}}
     s = langid.Scorer(model)
     assert s("the the")[0] == "a" and s("zzzz")[0] == "b" and s("q")[0] == "a"
-    assert s(None) == s("") == s("12 ...") == ("und", 0.0)
+    assert s(None) == s("") == s("12 ...") == s("½ ²") == ("und", 0.0)
 
 
 def test_languages_awkward(spark):
