@@ -28,6 +28,7 @@ from .common import prepare
 
 MAX_PER_LABEL, LEXICON, STEMS, LEAST_RATIO, LEAST_ODDS, CAP = 20_000, 4000, (4, 5, 6), 14.0, 4.3, 6.0
 _WORD = re.compile(r"[^\W\d_]+")
+_MEMO = 200_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n…]+")
 
 CLASSES: dict[str, frozenset[str]] = {
@@ -119,7 +120,8 @@ class Scorer:
         self.lex: dict[str, tuple[float, float]] = model["lexicon"]
         self.stems = tuple(sorted({len(k) - 1 for k in self.lex if k.endswith("*")}))
         self.classes = {w: c for c, ws in CLASSES.items() for w in ws}
-        self.memo: dict[str, tuple[float, float] | None] = {}
+        #: word -> weight, for texts without a label; cleared when full
+        self.memo: dict[str, float] = {}
 
     def entry(self, w: str) -> tuple[float, float] | None:
         e = self.lex.get(w)
@@ -140,13 +142,23 @@ class Scorer:
         if not text:
             return 0.0, 0.0
         low = text.lower()
+        words = set(_WORD.findall(low))
+        threat = not words.isdisjoint(CLASSES["T"])
         weights: dict[str, float] = {}
-        threat = False
-        for w in set(_WORD.findall(low)):
-            c = self.classes.get(w)
-            threat |= c == "T"
-            if c is None and (v := self.weigh(w, label)) > 0:
-                weights[w] = v
+        if label is None:
+            memo = self.memo
+            if len(memo) > _MEMO:
+                memo.clear()
+            for w in words:
+                v = memo.get(w)
+                if v is None:
+                    v = memo[w] = 0.0 if w in self.classes else self.weigh(w, None)
+                if v > 0:
+                    weights[w] = v
+        else:
+            for w in words:
+                if w not in self.classes and (v := self.weigh(w, label)) > 0:
+                    weights[w] = v
         if not weights and not threat:
             return 0.0, 0.0
         total, n, clause = 0.0, 0, []
