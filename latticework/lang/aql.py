@@ -46,7 +46,7 @@ class Query:
     def __init__(self, session: Session):
         self.session = session
 
-    # ----------------------------------------------------------------- sources
+    # -- sources
 
     def source(self, text: str) -> tuple[ArrayFrame, str]:
         """An array and its alias."""
@@ -103,7 +103,7 @@ class Query:
         s = ArraySchema(attrs, dims, a.schema.name)
         return ArrayFrame(p.join(q, [f"__j{i}" for i in range(len(left))]).select(*[F.col(f"`{c}`") for c in s.names]), s)
 
-    # ----------------------------------------------------------------- select
+    # -- select
 
     def run(self, text: str) -> ArrayFrame | None:
         text = expanded(text.strip().rstrip(";").strip())
@@ -242,7 +242,7 @@ class Query:
         s = ArraySchema((*attrs, *[c.out for c in calls]), dims)
         return OPERATORS["redimension"].run(src, s, *[f"{c.fn}({c.attr or '*'}) as {c.name}" for c in calls])
 
-    # ----------------------------------------------------------------- statements
+    # -- statements
 
     def statement(self, text: str) -> ArrayFrame | None:
         store = self.session.store

@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
 Read = Callable[[str], DataFrame]
 
 
-# ------------------------------------------------------------------ arrays over the tables
+# -- arrays over the tables
 
 
 def lineitem(t: Read) -> ArrayFrame:
@@ -86,7 +86,7 @@ def matrix(t: Read, rows: int | None = None) -> ArrayFrame:
 
 _EMB = "SELECT vec_id, k - 1 AS k, embedding[k]::double AS v FROM embeddings, range(1, 65) t(k)"
 
-# ------------------------------------------------------------------ select
+# -- select
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_extendedprice) AS avg_price, avg(l_discount) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
@@ -139,7 +139,7 @@ def datetime_functions(t: Read):
     return a.project("dow", "hod", "day", "since", "later")
 
 
-# ------------------------------------------------------------------ ranges
+# -- ranges
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 1000 AND 5000")
@@ -173,7 +173,7 @@ def lookup(t: Read):
     return supplier(t).project("s_nationkey").lookup(nation(t))
 
 
-# ------------------------------------------------------------------ joins
+# -- joins
 
 
 @query("SELECT a.o_orderkey, a.o_totalprice, b.o_custkey, b.o_totalprice AS o_totalprice_2 FROM orders a JOIN orders b USING (o_orderkey) WHERE b.o_orderstatus = 'O'")
@@ -202,7 +202,7 @@ def index_lookup(t: Read):
     return a.index_lookup(a.sort("p_brand").uniq(), "p_brand")
 
 
-# ------------------------------------------------------------------ aggregation
+# -- aggregation
 
 _AGGS = "sum(value) AS s, count(value) AS c, avg(value) AS a, min(value) AS lo, max(value) AS hi, var_samp(value) AS v, stddev_samp(value) AS sd, count(*) AS n"
 _CALLS = ["sum(value) as s", "count(value) as c", "avg(value) as a", "min(value) as lo", "max(value) as hi", "var(value) as v", "stdev(value) as sd", "count(*) as n"]
@@ -255,7 +255,7 @@ def approxdc(t: Read):
     return got.df.crossJoin(exact).select("i", (F.abs(F.col("d") - F.col("e")) <= 0.05 * F.col("e")).alias("plausible"))
 
 
-# ------------------------------------------------------------------ windows
+# -- windows
 
 
 @query("SELECT event_id, sum(value) OVER w AS s, count(*) OVER w AS n, max(value) OVER w AS hi FROM events WINDOW w AS (ORDER BY event_id RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING)")
@@ -313,7 +313,7 @@ def quantile_by_dim(t: Read):
     return timeline(t).quantile(2, "value", "user_id")
 
 
-# ------------------------------------------------------------------ sort and shape
+# -- sort and shape
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_custkey, o_orderstatus, o_orderkey) - 1 AS n, o_orderpriority, o_totalprice, o_custkey, o_orderstatus FROM orders")
@@ -336,9 +336,9 @@ def unfold(t: Read):
     return part(t).apply("twice", "p_retailprice * 2").project("p_retailprice", "twice").unfold()
 
 
-@query("SELECT n_nationkey // 5 AS a, n_nationkey % 5 AS b, n_name FROM nation")
+@query("SELECT n_nationkey // 5 AS quotient, n_nationkey % 5 AS remainder, n_name FROM nation")
 def reshape(t: Read):
-    return nation(t).project("n_name").reshape("<n_name:string null>[a=0:4,5,0, b=0:4,5,0]")
+    return nation(t).project("n_name").reshape("<n_name:string null>[quotient=0:4,5,0, remainder=0:4,5,0]")
 
 
 @query("SELECT user_id, event_id, value FROM events")
@@ -376,7 +376,7 @@ def xgrid(t: Read):
     return nation(t).project("n_name").xgrid(3)
 
 
-# ------------------------------------------------------------------ linear algebra
+# -- linear algebra
 
 
 def _small(t: Read) -> ArrayFrame:
@@ -412,7 +412,7 @@ def gesvd(t: Read):
     return _small(t).gesvd("S").df.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
 
 
-# ------------------------------------------------------------------ proximity
+# -- proximity
 
 
 @query("WITH c AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 5 = 0), p AS (SELECT s_suppkey AS s, s_name, k, c_name, row_number() OVER (PARTITION BY s_suppkey ORDER BY (s_suppkey - k) * (s_suppkey - k), k) AS r FROM supplier JOIN c ON abs(s_suppkey - k) <= 2) SELECT s AS s_suppkey, s_name, c_name FROM p WHERE r = 1")
@@ -430,7 +430,7 @@ def findstars(t: Read):
     return matrix(t).findstars("v", 0.15)
 
 
-# ------------------------------------------------------------------ languages and streams
+# -- languages and streams
 
 
 @query("SELECT user_id, sum(value * 2) AS s, count(*) AS n FROM events WHERE value > 10 GROUP BY 1")

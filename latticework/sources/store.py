@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
-    # ----------------------------------------------------------------- manifests
+    # -- manifests
 
     def _manifest(self, name: str) -> str:
         return f"{self.root}/{name}/manifest.json"
@@ -65,7 +66,7 @@ class Store:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory()]
         return sorted(x for x in found if self._fs.exists(self._path(self._manifest(x))))
 
-    # ----------------------------------------------------------------- arrays
+    # -- arrays
 
     def create(self, name: str, schema: str | ArraySchema, temp: bool = False) -> None:
         s = parse_schema(schema) if isinstance(schema, str) else schema
@@ -99,7 +100,7 @@ class Store:
 
     def at(self, name: str, moment: str) -> ArrayFrame:
         """The version that was current at a moment (UTC, ISO)."""
-        stamp = time.mktime(time.strptime(moment, "%Y-%m-%d %H:%M:%S")) - time.timezone
+        stamp = datetime.fromisoformat(moment).replace(tzinfo=timezone.utc).timestamp()
         old = [v for v in self.versions(name) if v["timestamp"] <= stamp]
         return self.scan(name, old[-1]["id"] if old else 0)
 

@@ -4,9 +4,9 @@ from latticework.schema import ArrayError, parse_schema
 
 
 def test_parse_and_show():
-    s = parse_schema("A<a:int64 null, b:string default 'x'> [x=1:5,5,0, y=0:*,10,2]")
+    s = parse_schema("A<a:int64 null, b:string default 'x'> [x=1:6,6,0, y=0:*,10,2]")
     assert s.name == "A" and s.attr_names == ["a", "b"] and s.attr("a").nullable and s.attr("b").default == "'x'"
-    assert (s.dim("x").lo, s.dim("x").hi, s.dim("y").hi, s.dim("y").overlap) == (1, 5, None, 2)
+    assert (s.dim("x").lo, s.dim("x").hi, s.dim("y").hi, s.dim("y").overlap) == (1, 6, None, 2)
     assert parse_schema(str(s)) == s
 
 

@@ -77,7 +77,7 @@ def test_round_trip(spark, tmp_path, fmt):
 
 
 def test_rendered_lines(spark):
-    a = literal(spark, "<v:double null>[i=0:1,2,0, j=0:1,2,0]", "[[1,()],[null,2.5]]")
+    a = literal(spark, "<v:double null>[down=0:1,2,0, across=0:1,2,0]", "[[1,()],[null,2.5]]")
 
     def lines(fmt):
         return [r[1] for r in sorted(files.rendered(a, fmt).collect())]
