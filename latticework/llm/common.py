@@ -46,7 +46,7 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-# ---------------------------------------------------------------- vectorised shingles
+# -- vectorised shingles
 
 _SPACE = np.zeros(256, np.int8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
@@ -115,7 +115,7 @@ def shingles(data: bytes, width: int, lower: bool = True) -> np.ndarray:
     return h[keep]
 
 
-# ---------------------------------------------------------------- connected components
+# -- connected components
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -30,7 +30,7 @@ class TiffError(ValueError):
     """A file that isn't a well-formed TIFF of the kinds above."""
 
 
-# ------------------------------------------------------------------------------- codecs
+# -- codecs
 
 
 def packbits_decode(data: bytes) -> bytes:
@@ -161,7 +161,7 @@ def _decoded(data: bytes, codec: int) -> bytes:
     raise TiffError(f"compression {codec} isn't read")
 
 
-# ------------------------------------------------------------------------------- reading
+# -- reading
 
 
 @dataclass(frozen=True)
@@ -245,7 +245,7 @@ def pages(data: bytes) -> Iterator[Page]:
         yield Page(index, w, h, k, codec, predictor, tiled, out)
 
 
-# ------------------------------------------------------------------------------- writing
+# -- writing
 
 
 def stored(payloads: list[bytes], width: int = WIDTH, codec: int = DEFLATE, predictor: int = 1, rows: int = 1024, tile: int | None = None, order: str = "<") -> bytes:
@@ -287,7 +287,7 @@ def stored(payloads: list[bytes], width: int = WIDTH, codec: int = DEFLATE, pred
     return bytes(out)
 
 
-# ------------------------------------------------------------------------------- columns
+# -- columns
 
 
 def page_rows(files: DataFrame, key: str = "file_id", column: str = "data") -> DataFrame:

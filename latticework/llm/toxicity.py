@@ -234,7 +234,8 @@ def learned(docs: DataFrame, labels: DataFrame, may_learn: Column) -> dict:
     p, n = top[0]["pos"], top[0]["neg"]
     if not p or not n:
         return DEFAULT
-    kept = [(weight(r["pos"], r["neg"], p, n), r["feature"], r["pos"], r["neg"]) for r in top[1:]]
+    # entries that count only without one clean document's vote weigh 0 in scoring, but show the fit what such hits are worth
+    kept = [(weight(r["pos"], max(0, r["neg"] - 1), p, n - 1), r["feature"], r["pos"], r["neg"]) for r in top[1:]]
     kept = sorted((x for x in kept if x[0] > 0), key=lambda x: (-x[0] * x[2], x[1]))[:LEXICON]
     lexicon = {f: (float(a), float(b)) for _, f, a, b in kept}
     model = {"lexicon": lexicon, "seeds": {}, "p": float(p), "n": float(n), "coef": [-1.0, 2.0, 0.0]}

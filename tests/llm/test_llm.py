@@ -47,7 +47,7 @@ def corpus(seed=3, n=160):
     return [" ".join(w) for w in out]
 
 
-# ------------------------------------------------------------------ shared
+# -- shared
 
 
 def test_words_and_shingles():
@@ -77,7 +77,7 @@ def test_components_against_union_find(spark):
     assert common.components(frame(spark, [], "a long, b long")).count() == 0
 
 
-# ------------------------------------------------------------------ 1 mixing
+# -- 1 mixing
 
 
 def test_targets():
@@ -127,7 +127,7 @@ def test_mix_awkward(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 2 scoring
+# -- 2 scoring
 
 
 def test_scores_separate_domains(spark):
@@ -167,7 +167,7 @@ def test_scores_awkward(spark):
     assert lm_score.cross_entropy(frame(spark, []), frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 3 near-duplicates
+# -- 3 near-duplicates
 
 
 def _brute(texts, width, per_cent=80):
@@ -236,7 +236,7 @@ def test_near_duplicates_awkward(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-# ------------------------------------------------------------------ 4 embeddings
+# -- 4 embeddings
 
 
 def test_vectors_against_brute_force(spark):
@@ -288,7 +288,7 @@ def test_vectors_awkward(spark):
     assert embed_dedup.near_vectors(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-# ------------------------------------------------------------------ 5 urls
+# -- 5 urls
 
 
 def _url_brute(url):
@@ -322,7 +322,7 @@ def test_url_model_learns_its_table():
     assert np.mean([(url_filter.chance(h, p, w, b) >= 0.5) == bool(y) for h, p, y in url_filter.SEED]) == 1
 
 
-# ------------------------------------------------------------------ 6 toxicity
+# -- 6 toxicity
 
 
 def test_grammar():
@@ -379,7 +379,7 @@ def test_toxicity_awkward(spark):
     assert toxicity.learned(awkward(spark), one, F.lit(True))["coef"]
 
 
-# ------------------------------------------------------------------ 7 languages
+# -- 7 languages
 
 
 def test_languages_of_held_out_documents(spark):
@@ -404,7 +404,7 @@ def test_languages_awkward(spark):
     assert [r["lang_pred"] for r in langid.predicted(df, empty).collect()] == ["und"] * len(AWKWARD)
 
 
-# ------------------------------------------------------------------ 8 byte-level BPE
+# -- 8 byte-level BPE
 
 
 @pytest.fixture(scope="module")
@@ -444,7 +444,7 @@ def test_coded(spark, codec):
         bpe.serialised({b"a": 0, b"b": 2})
 
 
-# ------------------------------------------------------------------ 9 TIFF
+# -- 9 TIFF
 
 
 def test_codecs_round_trip():
@@ -492,7 +492,7 @@ def test_text_media(spark):
     assert len(tiff.payload(b"x" * 576)) == 576
 
 
-# ------------------------------------------------------------------ 10 WARC
+# -- 10 WARC
 
 
 def _pages(spark, n=2345):
@@ -539,7 +539,7 @@ def test_audit_awkward(spark):
     assert warc_audit.fixity(frame(spark, [], "page_id long, url string, html string"), F.col("html"), F.lit(False)).count() == 0
 
 
-# ------------------------------------------------------------------ queries and pipeline
+# -- queries and pipeline
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
