@@ -50,13 +50,16 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(leaf: DataFrame, records: int) -> list[DataFrame]:
-    """Levels from the leaves to the root; level 3 holds the archives' roots. ``records`` bounds the depth."""
+    """Levels from the leaves to the root; level 3 holds the archives' roots. ``records`` bounds the depth.
+
+    Each level is written once, a tenth of the one below, so that plans stay short.
+    """
     levels, width = [leaf.select("no", "lo", "hi", "hash")], records
     while width > 1 or len(levels) < 4:
         below = levels[-1]
         if len(levels) == 4:  # above archives, ranges are of archive numbers
             below = below.select("no", F.col("no").alias("lo"), F.col("no").alias("hi"), "hash")
-        levels.append(parents(below))
+        levels.append(written(parents(below), "level"))
         width = -(-width // FAN)
     return levels
 
