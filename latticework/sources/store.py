@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..frame import ArrayFrame, chunk_of
 from ..schema import ArrayError, ArraySchema, Attr, Dim, need, parse_schema
 
-#: Cells from which a written version is spread over range partitions of its chunks.
-CLUSTER_FROM = 1_000_000
-
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -119,8 +116,9 @@ class Store:
         m = self.manifest(name)
         version = max([0, *[v["id"] for v in m["versions"]]]) + 1
         where = f"v{version}-{uuid.uuid4().hex[:8]}"
-        # repeated runs of sort keep rows of one chunk together; range partitions only where there's much to spread
-        out = df.sortWithinPartitions(*[chunk_of(d) for d in to.dims], *[F.col(f"`{d}`") for d in to.dim_names])
+        # files cover ranges of chunks, so that coordinate filters skip files and row groups
+        chunks = [chunk_of(d) for d in to.dims]
+        out = df.repartitionByRange(*chunks).sortWithinPartitions(*chunks, *[F.col(f"`{d}`") for d in to.dim_names])
         out.write.parquet(f"{self.root}/{name}/{where}")
         self._replace(name, m | {"versions": [*m["versions"], {"id": version, "dir": where, "timestamp": time.time()}]})
         return self.scan(name, version)
