@@ -7,7 +7,9 @@ in a hashed table per domain, tables are summed by bucket in a shuffle; (2) ever
 is scored by its windows' counts, the best segment of each of ``SLOTS`` slots is kept
 (a combinable maximum); (3) the driver takes segments from those at most 2 * SLOTS greedily,
 discounting windows already covered. What reaches the driver and is broadcast is of fixed size:
-two tables of 2**TABLE_BITS counts, SLOTS segments, dictionaries of DICT_BYTES.
+two tables of 2**TABLE_BITS counts, SLOTS segments, dictionaries of DICT_BYTES. The general side
+counts every document; the in-domain side a bounded sample of about DOMAIN_DOCS labelled ones, whose ids are
+broadcast so that no text is shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 TABLE_BITS, SEGMENT, SLOTS, DICT_BYTES, LEVEL = 18, 64, 4096, 112_640, 3
+#: In-domain documents that are learned from, about so many, chosen by a hash of the id; the general side takes all.
+DOMAIN_DOCS = 20_000
 _PRIME = np.uint64(0xCF1BBCDCB7A56463)
 
 
@@ -38,10 +42,12 @@ def windows(data: bytes | memoryview) -> np.ndarray:
 
 
 def _flagged(docs: DataFrame, domain: DataFrame) -> DataFrame:
-    """(text, good): good where the document's id is among the domain's."""
-    ids = domain.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))
+    """(text, good) of all documents: good where the id is among the domain's sample."""
+    ids = domain.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    share = min(1.0, DOMAIN_DOCS / max(1, ids.count()))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < share).withColumn("good", F.lit(True))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return named.join(ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    return named.join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))  # about DOMAIN_DOCS ids
 
 
 def counts(flagged: DataFrame) -> DataFrame:
