@@ -111,15 +111,31 @@ def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, na long, nb long, h int")
 
 
+#: Bits of the filter that keeps texts without a pair out of the shuffle; its table is at most FILTER_BITS / 64 rows.
+FILTER_BITS = 1 << 23
+
+
+def sifted(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``named`` whose hashed doc_id is set in a bit map of the ids, before any shuffle.
+
+    The map is a broadcast table of at most FILTER_BITS / 64 words, whatever the data. It may let others
+    pass (all, when there are many ids), never loses one; an exact join follows.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
+    probed = named.withColumn("__p", place).withColumn("__w", F.expr("cast(__p div 64 as int)"))
+    return probed.join(F.broadcast(bits), F.col("__w") == F.col("__word")).where("(shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L) = 1").select(*named.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """The pairs ``(a, b)`` with 100 * intersection >= per_cent * union on the full shingle sets.
 
-    Only texts of documents in a pair are kept; they are joined by id, rows of one ``a``
-    adjacent, so its set is made once. A hot ``a`` is split by adaptive execution.
+    Texts are sifted to those of documents in a pair, shuffled once by id (both joins use that exchange), and
+    rows of one ``a`` come together, so that its set is made once. A hot ``a`` is split by adaptive execution.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    kept = written(named.join(ids, "doc_id", "left_semi"), "texts")
+    kept = sifted(named, ids)
     both = pairs.select("a", "b").join(kept.toDF("b", "tb"), "b").join(kept.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
