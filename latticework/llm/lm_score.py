@@ -8,8 +8,7 @@ is scored by its windows' counts, the best segment of each of ``SLOTS`` slots is
 (a combinable maximum); (3) the driver takes segments from those at most 2 * SLOTS greedily,
 discounting windows already covered. What reaches the driver and is broadcast is of fixed size:
 two tables of 2**TABLE_BITS counts, SLOTS segments, dictionaries of DICT_BYTES. The general side
-counts every document; the in-domain side a bounded sample of about DOMAIN_DOCS labelled ones, whose ids are
-broadcast so that no text is shuffled.
+counts every document, the in-domain side every one whose id the domain has.
 """
 
 from __future__ import annotations
@@ -23,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .common import prepare
+from .minhash import FILTER_BITS
 
 TABLE_BITS, SEGMENT, SLOTS, DICT_BYTES, LEVEL = 18, 64, 4096, 112_640, 3
-#: In-domain documents that are learned from, about so many, chosen by a hash of the id; the general side takes all.
-DOMAIN_DOCS = 20_000
 _PRIME = np.uint64(0xCF1BBCDCB7A56463)
 
 
@@ -42,12 +41,20 @@ def windows(data: bytes | memoryview) -> np.ndarray:
 
 
 def _flagged(docs: DataFrame, domain: DataFrame) -> DataFrame:
-    """(text, good) of all documents: good where the id is among the domain's sample."""
+    """(text, good) of all documents: good where the id is among the domain's.
+
+    A bit map of the domain's ids (FILTER_BITS, broadcast) tells most other documents apart without a shuffle.
+    The texts that pass are shuffled once, against a hash table of ids, and written, as they are read twice.
+    """
     ids = domain.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    share = min(1.0, DOMAIN_DOCS / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < share).withColumn("good", F.lit(True))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return named.join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))  # about DOMAIN_DOCS ids
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("__p", place)
+    probed = named.join(F.broadcast(bits), F.expr("cast(__p div 64 as int)") == F.col("__word"), "left")
+    passes = F.expr("doc_id is not null and coalesce(shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L, 0L) = 1")
+    ids = ids.withColumn("good", F.lit(True)).hint("shuffle_hash")
+    joined = probed.where(passes).select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    return written(joined, "domain").unionByName(probed.where(~passes).select("text", F.lit(False).alias("good")))
 
 
 def counts(flagged: DataFrame) -> DataFrame:

@@ -161,6 +161,15 @@ def test_window_counts_against_brute_force(spark):
     assert not want.any()
 
 
+def test_every_document_of_the_domain_counts(spark):
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.format_string("number %06d", "id").alias("text"))
+    domain = docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id < 7")).select("doc_id")
+    flagged = lm_score._flagged(docs.unionByName(frame(spark, [(None, "number 000001"), (2, "number 000002"), (4, None)], "doc_id long, text string")), domain)
+    got = {(r["good"], r["even"]): r["n"] for r in flagged.groupBy("good", (F.substring("text", -6, 6).cast("int") % 2 == 0).alias("even")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(True, True): 25_001, (True, False): 3, (False, False): 24_998}
+    assert lm_score.counts(flagged).agg(F.sum("n_in")).first()[0] == 25_004 * 6
+
+
 def test_scores_awkward(spark):
     got = lm_score.cross_entropy(awkward(spark), frame(spark, [(5, 1, 0)], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(AWKWARD) and all(r["score"] == 0 for r in got if not r["n_bytes"])
