@@ -94,18 +94,18 @@ def candidates(flagged: DataFrame, tables: np.ndarray) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[dict[int, tuple[int, bytes]]] = [{}, {}]
+        peak = np.full((2, SLOTS), -1, np.int64)  # the scores in best
         for part in parts:
             good = part.column(1).to_numpy(zero_copy_only=False)
             for x, g in zip(part.column(0), good):
                 data = x.as_buffer()
                 for k in range(1 + bool(g)):
                     start, score, slot = best_segments(data, shared.value[k])
+                    np.maximum.at(peak[k], slot, score)
                     top = best[k]
-                    order = np.argsort(-score, kind="stable")[:64] if len(score) > 64 else range(len(score))
-                    for i in order:
-                        s, v = int(slot[i]), int(score[i])
-                        if v >= top.get(s, (0,))[0]:
-                            top[s] = max(top.get(s, (0, b"")), (v, bytes(data[int(start[i]) : int(start[i]) + SEGMENT])))
+                    for i in np.flatnonzero(score == peak[k][slot]):
+                        s = int(slot[i])
+                        top[s] = max(top.get(s, (-1, b"")), (int(score[i]), bytes(data[int(start[i]) : int(start[i]) + SEGMENT])))
         for k in range(2):
             slots = sorted(best[k])
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(slots), pa.int32()), pa.array(slots, pa.int32()), pa.array([best[k][s][0] for s in slots], pa.int64()), pa.array([best[k][s][1] for s in slots], pa.binary())], names=["kind", "slot", "score", "segment"])

@@ -170,6 +170,24 @@ def test_every_document_of_the_domain_counts(spark):
     assert lm_score.counts(flagged).agg(F.sum("n_in")).first()[0] == 25_004 * 6
 
 
+def test_best_segment_of_each_slot_against_brute_force(spark):
+    r = random.Random(5)
+    line = "the same line comes again and again, as a header would do; " * 3
+    texts = [" ".join(line if r.random() < 0.1 else str(r.randrange(10**6)) for _ in range(3000)) for _ in range(3)]
+    flagged = frame(spark, [(t, i == 1) for i, t in enumerate(texts)], "text string, good boolean")
+    tables = np.random.default_rng(1).integers(0, 5, (2, 1 << lm_score.TABLE_BITS))
+    want = {}
+    for i, t in enumerate(texts):
+        data = t.encode()
+        for k in range(1 + (i == 1)):
+            for at in range(0, len(data) - 63, 32):
+                w = lm_score.windows(data[at : at + 64])
+                key = (k, int(w[0]) % lm_score.SLOTS)
+                want[key] = max(want.get(key, (-1, b"")), (int(tables[k][w].sum()), data[at : at + 64]))
+    got = {(x["kind"], x["slot"]): (x["score"], bytes(x["segment"])) for x in lm_score.candidates(flagged, tables).collect()}
+    assert got == want and len(want) > 600
+
+
 def test_scores_awkward(spark):
     got = lm_score.cross_entropy(awkward(spark), frame(spark, [(5, 1, 0)], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(AWKWARD) and all(r["score"] == 0 for r in got if not r["n_bytes"])
