@@ -4,16 +4,19 @@ score = (bytes under the general dictionary - bytes under the in-domain one) / b
 both by zstandard; higher means closer to the domain. The dictionaries are raw content chosen in
 the manner of FASTCOVER over the whole corpus: (1) every 8-byte window of every document is counted
 in a hashed table per domain, tables are summed by bucket in a shuffle; (2) every 64-byte segment
-is scored by its windows' counts, the best segment of each of ``SLOTS`` slots is kept
-(a combinable maximum); (3) the driver takes segments from those at most 2 * SLOTS greedily,
-discounting windows already covered. What reaches the driver and is broadcast is of fixed size:
-two tables of 2**TABLE_BITS counts, SLOTS segments, dictionaries of DICT_BYTES. The general side
+is scored by its windows' counts, the best segment of each slot is kept
+(a combinable maximum); (3) the driver takes segments from those greedily,
+discounting windows already covered. The counts, slots and dictionaries grow with the square root of the
+corpus' bytes (``sizes``). Two tables of counts, a segment for each slot and the dictionaries
+reach the driver and are broadcast. The general side
 counts every document, the in-domain side every one whose id the domain has.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +29,27 @@ from ..plans.lineage import written
 from .common import prepare
 from .minhash import FILTER_BITS
 
+#: Table, slots and dictionary for a small corpus; ``sizes`` has them for others.
 TABLE_BITS, SEGMENT, SLOTS, DICT_BYTES, LEVEL = 18, 64, 4096, 112_640, 3
+#: Bytes of corpus from which the sizes grow, and buckets that are summed together.
+GROWTH_BYTES, BLOCK = 1 << 25, 4096
 _PRIME = np.uint64(0xCF1BBCDCB7A56463)
 
 
-def windows(data: bytes | memoryview) -> np.ndarray:
+def sizes(n_bytes: int) -> tuple[int, int, int]:
+    """(buckets of a table, slots, bytes of a dictionary) for a corpus of so many bytes."""
+    by = math.sqrt(1 + n_bytes / GROWTH_BYTES)
+    return round(by * (1 << TABLE_BITS)), round(by * SLOTS), round(by * DICT_BYTES)
+
+
+def windows(data: bytes | memoryview, buckets: int = 1 << TABLE_BITS) -> np.ndarray:
     """Table buckets of all 8-byte windows of a text."""
     n = len(data) - 7
     if n <= 0:
         return np.empty(0, np.int64)
     x = np.ndarray((n,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
-        return ((x * _PRIME) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (((x * _PRIME) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _flagged(docs: DataFrame, domain: DataFrame) -> DataFrame:
@@ -57,58 +69,70 @@ def _flagged(docs: DataFrame, domain: DataFrame) -> DataFrame:
     return written(joined, "domain").unionByName(probed.where(~passes).select("text", F.lit(False).alias("good")))
 
 
-def counts(flagged: DataFrame) -> DataFrame:
-    """(bucket, n_all, n_in) over every window of every text."""
+def counts(flagged: DataFrame, buckets: int = 1 << TABLE_BITS) -> DataFrame:
+    """(bucket, n_all, n_in) over every window of every text; blocks of buckets are shuffled, compressed."""
+    blocks = -(-buckets // BLOCK)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 1 << TABLE_BITS), np.int64)
+        tables = np.zeros((2, blocks * BLOCK), np.int64)
         for part in parts:
             good = part.column(1).to_numpy(zero_copy_only=False)
-            own = [windows(x.as_buffer()) for x in part.column(0)]
-            for k in range(2):
-                chosen = [w for w, g in zip(own, good) if g or not k]
-                if chosen:
-                    tables[k] += np.bincount(np.concatenate(chosen), minlength=1 << TABLE_BITS)
-        at = np.flatnonzero(tables[0])
-        for i in range(0, len(at), 65536):
-            j = at[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(tables[0][j]), pa.array(tables[1][j])], names=["bucket", "n_all", "n_in"])
+            for x, g in zip(part.column(0), good):
+                w = windows(x.as_buffer(), buckets)
+                for k in range(1 + bool(g)):
+                    np.add.at(tables[k], w, 1)
+        for b in range(blocks):
+            own = tables[:, b * BLOCK : (b + 1) * BLOCK]
+            if own.any():
+                kind = np.min_scalar_type(own.max()).newbyteorder("<")
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(own.astype(kind).tobytes(), 1)], pa.binary())], names=["block", "packed"])
+
+    def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for part in parts:
+            for b, x in zip(part.column(0).to_pylist(), part.column(1)):
+                raw = zlib.decompress(x.as_py())
+                own = np.frombuffer(raw, f"<u{len(raw) // (2 * BLOCK)}").reshape(2, BLOCK).astype(np.int64)
+                sums[b] = sums[b] + own if b in sums else own
+        for b, (n_all, n_in) in sums.items():
+            j = np.flatnonzero(n_all)
+            yield pa.RecordBatch.from_arrays([pa.array((b * BLOCK + j).astype(np.int32)), pa.array(n_all[j]), pa.array(n_in[j])], names=["bucket", "n_all", "n_in"])
 
-    return flagged.mapInArrow(run, "bucket int, n_all long, n_in long").groupBy("bucket").agg(F.sum("n_all").alias("n_all"), F.sum("n_in").alias("n_in"))
+    return flagged.mapInArrow(run, "block int, packed binary").repartition("block").mapInArrow(total, "bucket int, n_all long, n_in long")
 
 
-def best_segments(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_segments(data: bytes, table: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, score, slot) of a text's segments at half-overlapping starts."""
-    w = windows(data)
+    w = windows(data, len(table))
     if len(data) < SEGMENT:
         return (np.empty(0, np.int64),) * 3
     sums = np.concatenate([[0], np.cumsum(table[w])])
     start = np.arange(0, len(data) - SEGMENT + 1, SEGMENT // 2)
     span = SEGMENT - 7
-    return start, sums[start + span] - sums[start], w[start] % SLOTS
+    return start, sums[start + span] - sums[start], w[start] % slots
 
 
-def candidates(flagged: DataFrame, tables: np.ndarray) -> DataFrame:
+def candidates(flagged: DataFrame, tables: np.ndarray, slots: int = SLOTS) -> DataFrame:
     """The best segment of each slot and kind (0 general, 1 in-domain): kind, slot, score, segment."""
     shared = flagged.sparkSession.sparkContext.broadcast(tables)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[dict[int, tuple[int, bytes]]] = [{}, {}]
-        peak = np.full((2, SLOTS), -1, np.int64)  # the scores in best
+        peak = np.full((2, slots), -1, np.int64)  # the scores in best
         for part in parts:
             good = part.column(1).to_numpy(zero_copy_only=False)
             for x, g in zip(part.column(0), good):
                 data = x.as_buffer()
                 for k in range(1 + bool(g)):
-                    start, score, slot = best_segments(data, shared.value[k])
+                    start, score, slot = best_segments(data, shared.value[k], slots)
                     np.maximum.at(peak[k], slot, score)
                     top = best[k]
                     for i in np.flatnonzero(score == peak[k][slot]):
                         s = int(slot[i])
                         top[s] = max(top.get(s, (-1, b"")), (int(score[i]), bytes(data[int(start[i]) : int(start[i]) + SEGMENT])))
         for k in range(2):
-            slots = sorted(best[k])
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(slots), pa.int32()), pa.array(slots, pa.int32()), pa.array([best[k][s][0] for s in slots], pa.int64()), pa.array([best[k][s][1] for s in slots], pa.binary())], names=["kind", "slot", "score", "segment"])
+            filled = sorted(best[k])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(filled), pa.int32()), pa.array(filled, pa.int32()), pa.array([best[k][s][0] for s in filled], pa.int64()), pa.array([best[k][s][1] for s in filled], pa.binary())], names=["kind", "slot", "score", "segment"])
 
     found = flagged.mapInArrow(run, "kind int, slot int, score long, segment binary")
     return found.groupBy("kind", "slot").agg(F.max(F.struct("score", "segment")).alias("best")).select("kind", "slot", "best.score", "best.segment")
@@ -122,7 +146,7 @@ def assembled(segments: list[tuple[int, bytes]], table: np.ndarray, size: int =
     out: list[bytes] = []
     while heap and len(out) * SEGMENT < size:
         score, s = heapq.heappop(heap)
-        w = np.unique(windows(s))
+        w = np.unique(windows(s, len(table)))
         now = -int(table[w[~seen[w]]].sum())
         if heap and now > heap[0][0]:
             if now < 0:
@@ -135,22 +159,26 @@ def assembled(segments: list[tuple[int, bytes]], table: np.ndarray, size: int =
 
 def dictionaries(docs: DataFrame, domain: DataFrame) -> tuple[bytes, bytes]:
     """(general, in-domain) raw-content dictionaries; empty where there is nothing to learn from."""
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets, slots, size = sizes(n_bytes)
     flagged = _flagged(docs, domain)
-    tables = np.zeros((2, 1 << TABLE_BITS), np.int64)
-    got = counts(flagged).toArrow()  # at most 2**TABLE_BITS rows
+    tables = np.zeros((2, buckets), np.int64)
+    got = counts(flagged, buckets).toArrow()  # at most a row a bucket
     at = got.column("bucket").to_numpy()
     tables[0][at], tables[1][at] = got.column("n_all").to_numpy(), got.column("n_in").to_numpy()
-    rows = candidates(flagged, tables).toArrow().to_pylist()  # at most 2 * SLOTS rows
-    return tuple(assembled([(r["score"], r["segment"]) for r in rows if r["kind"] == k], tables[k]) for k in range(2))
+    rows = candidates(flagged, tables, slots).toArrow().to_pylist()  # at most two a slot
+    return tuple(assembled([(r["score"], r["segment"]) for r in rows if r["kind"] == k], tables[k], size) for k in range(2))
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
     if not dictionary:
-        return zstandard.ZstdCompressor(**plain)
+        return zstandard.ZstdCompressor(level=LEVEL, **plain)
+    bits = max(17, (len(dictionary) - 1).bit_length())  # the level's own tables are full at some 300 KB
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionary), hash_log=bits, chain_log=bits, **plain)
     d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, **plain)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
 def score(docs: DataFrame, general: bytes, domain: bytes) -> DataFrame:
@@ -159,7 +187,7 @@ def score(docs: DataFrame, general: bytes, domain: bytes) -> DataFrame:
     Null or empty text: zeros. Equal texts, equal values.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((general, domain))  # twice DICT_BYTES
+    shared = spark.sparkContext.broadcast((general, domain))  # two dictionaries
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (compressor(x) for x in shared.value)

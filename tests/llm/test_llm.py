@@ -188,6 +188,19 @@ def test_best_segment_of_each_slot_against_brute_force(spark):
     assert got == want and len(want) > 600
 
 
+def test_what_is_gathered_grows_with_the_corpus(spark):
+    small, large = (lm_score.sizes(n) for n in (10**6, 10**9))
+    assert all(b > 5 * a for a, b in zip(small, large)) and lm_score.sizes(0) == (1 << lm_score.TABLE_BITS, lm_score.SLOTS, lm_score.DICT_BYTES)
+    docs = spark.range(6000, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 100), i -> sha2(cast(id * 1000 + i as string), 256)), ' ')").alias("text"))
+    general, inside = lm_score.dictionaries(docs, docs.where("doc_id < 3000"))
+    size = lm_score.sizes(6000 * (100 * 65 - 1))[2]
+    assert size > 1.4 * lm_score.DICT_BYTES and min(len(general), len(inside)) > 1.3 * lm_score.DICT_BYTES
+    buckets = 300_001
+    want = sum(np.bincount(lm_score.windows(r["text"].encode(), buckets), minlength=buckets) for r in docs.limit(40).collect())
+    got = lm_score.counts(docs.limit(40).select("text", F.lit(True).alias("good")), buckets).collect()
+    assert len(got) == (want > 0).sum() and all(want[r["bucket"]] == r["n_all"] == r["n_in"] for r in got)
+
+
 def test_scores_awkward(spark):
     got = lm_score.cross_entropy(awkward(spark), frame(spark, [(5, 1, 0)], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(AWKWARD) and all(r["score"] == 0 for r in got if not r["n_bytes"])
