@@ -53,7 +53,7 @@ def redimension(src: ArrayFrame, schema: str | ArraySchema, *calls: str, checked
     Cells that meet at one coordinate are aggregated, or enumerated along a dimension that the
     source doesn't know (ordered by their attributes and old coordinates), or else the smallest is kept.
     Cells with a null coordinate are left out; a coordinate outside the target's bounds is an error
-    at run time (``checked``).
+    at run time (``checked``), and always more cells at one coordinate than the new dimension has places.
     """
     s = src.schema
     to = parse_schema(schema) if isinstance(schema, str) else schema
@@ -90,7 +90,9 @@ def redimension(src: ArrayFrame, schema: str | ArraySchema, *calls: str, checked
         w = Window.partitionBy(*keys).orderBy(*[F.col(f"`{n}`") for n in (*to.attr_names, *s.names) if n not in [d.name for d in real]])
         df = df.withColumn(z.name, F.row_number().over(w).cast("bigint") - 1 + z.lo)
         if z.hi is not None:
-            df = df.where(F.col(f"`{z.name}`") <= z.hi)
+            c = F.col(f"`{z.name}`")
+            message = F.concat(F.lit(f"redimension: {z.name} = "), c.cast("string"), F.lit(f" lies outside {z}"))
+            df = df.withColumn(z.name, F.when(c > z.hi, F.raise_error(message).cast("bigint")).otherwise(c))
         return ArrayFrame.of(df, to.with_(name=to.name or s.name))
     cell = F.min(F.struct(*[F.col(f"`{a.name}`").alias(a.name) for a in plain])).alias("__cell")
     got = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{n}`") for n in dict.fromkeys([*[a.name for a in plain], *[x.attr for x in aggs if x.attr]])])

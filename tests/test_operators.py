@@ -145,6 +145,15 @@ def test_redimension(spark):
         flat.redimension("<v:string null>[rr=1:1,3,0, cc=1:3,3,0]").df.collect()
 
 
+def test_redimension_overflow(spark):
+    df = spark.createDataFrame([(i, i // 4) for i in range(8)], "i long, g long")
+    a = ArrayFrame.from_table(df, ["i"])
+    fits = a.redimension("<i:int64>[g=0:9,10,0, s=2:5,4,0]").df.collect()
+    assert len(fits) == 8 and {r["s"] for r in fits} == {2, 3, 4, 5}
+    with pytest.raises(Exception, match="redimension: s = 5 lies outside"):
+        a.redimension("<i:int64>[g=0:9,10,0, s=2:4,3,0]").df.collect()
+
+
 def test_lookup_unfold_concat_reshape(A, spark):
     p = literal(spark, "<x:int64, y:int64>[k=0:1,2,0]", "[(0,1),(2,2)]")
     assert rows(p.lookup(A["m3"])) == [(0, 1.0), (1, 8.0)]
