@@ -19,14 +19,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter (``und``) go. The language found replaces a null one."""
+    """Documents with a language; those without a letter (``und``) go. The language found replaces a null one.
+
+    Null, empty and letterless texts go; ids and ties don't matter: equal texts share one fate. Repeated rows
+    stay repeated. Very long texts are read whole. Other columns than those of documents are left out. No rows give none.
+    """
     prepare(spark)
     found = langid.predicted(docs.select(*COLUMNS), language_model(docs)).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic, by a model from the labelled documents of ``sf_dir``.
+
+    Null and empty texts have no insult and stay. Equal texts share one fate, repeated rows stay repeated, very long texts
+    are read whole. Other columns than those of documents are left out. No rows give none.
+    """
     prepare(spark)
     model = toxic_model(spark, sf_dir)
     return toxicity.scored(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
@@ -48,20 +56,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: each document as often as the mix takes it."""
+    """Sources mixed to their target weights: each document as often as the mix takes it.
+
+    Null text counts 0 words; a null source is one of its own; null ids are kept as they come. Equal rows share the copies
+    that the mix gives them. Other columns than those of documents are left out. No rows give none.
+    """
     prepare(spark)
     # equal rows share their copies
-    copies = mixing.mix(docs).groupBy("h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
-    keyed = docs.select(*COLUMNS).withColumn("h", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text")))
-    taken = keyed.join(copies.where("copies > 0").hint("shuffle_hash"), "h")
+    copies = mixing.mix(docs).groupBy("h", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    keyed = mixing.keyed(docs.select(*COLUMNS))
+    known = F.coalesce("copies", F.raise_error("mixing: a document has no row in the mix").cast("long"))
+    taken = keyed.join(copies.hint("shuffle_hash"), ["h", "h2"], "left").where(known > 0)
     each = F.expr("sequence(1, cast(copies div n as int))")
-    out = taken.where("copies >= n").withColumn("i", F.explode(each)).select(*COLUMNS)
-    rest = taken.where("n > 1 and copies % n > 0").groupBy("h").agg(F.first(F.struct(*COLUMNS)).alias("x"), F.first(F.expr("cast(copies % n as int)")).alias("k"))
-    return out.unionByName(rest.withColumn("i", F.explode(F.expr("sequence(1, k)"))).select("x.*").select(*COLUMNS))
+    out = taken.where("copies >= n").withColumn("__i", F.explode(each)).select(*COLUMNS)
+    rest = taken.where("n > 1 and copies % n > 0").groupBy("h", "h2").agg(F.first(F.struct(*COLUMNS)).alias("x"), F.first(F.expr("cast(copies % n as int)")).alias("k"))
+    return out.unionByName(rest.withColumn("__i", F.explode(F.expr("sequence(1, k)"))).select("x.*").select(*COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the byte-level BPE for each document, and digests of them and of their decoding."""
+    """Token count of the byte-level BPE for each document, and digests of its ids and of their decoding.
+
+    Null text is as the empty one; one row for each row, repeated rows too; very long texts are encoded whole. No rows give none.
+    """
     prepare(spark)
     return bpe.coded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: tokenising, cutting lineage, components.
+"""Shared pieces of the corpus operators: tokenising and shingles.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D in the UTF-8 text,
 which is what ``bytes.split()`` yields; ``bytes.lower()`` maps A-Z only.
@@ -7,18 +7,20 @@ which is what ``bytes.split()`` yields; ``bytes.lower()`` maps A-Z only.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import dropped, written
+from ..plans.graph import labelled as components
+
+__all__ = ["components", "crc_mod", "mix64", "prepare", "shingles", "texts", "word_hashes", "words"]
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows handed to Python at once; a batch of whole texts has to fit beside the JVM.
-ARROW_ROWS = 512
+#: Rows and bytes handed to Python at once; a batch of whole texts has to fit beside the JVM (one row at least).
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,6 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -113,57 +116,3 @@ def shingles(data: bytes, width: int, lower: bool = True) -> np.ndarray:
     keep[0] = True
     np.not_equal(h[1:], h[:-1], out=keep[1:])
     return h[keep]
-
-
-# -- connected components
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of an undirected graph ``(a, b)``; root is the smallest.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014): each is a
-    combinable minimum by node and a join, so no node's neighbours are gathered in
-    one task, and a hub's rows can be split by adaptive execution. A round's edges are
-    written to the shared folder. Empty input gives an empty result.
-    """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    def seen(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = seen(e)
-    for _ in range(rounds):
-        if not now[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        after = written(small, "edges")
-        then = seen(after)
-        dropped(e)
-        e = after
-        if then == now:
-            break
-        now = then
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def batches(parts: Iterable[dict], schema: pa.Schema, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Record batches out of single rows."""
-    kept: dict[str, list] = {k: [] for k in schema.names}
-    n = 0
-    for row in parts:
-        for k in kept:
-            kept[k].append(row[k])
-        n += 1
-        if n == rows:
-            yield pa.RecordBatch.from_pydict(kept, schema=schema)
-            kept, n = {k: [] for k in schema.names}, 0
-    if n:
-        yield pa.RecordBatch.from_pydict(kept, schema=schema)

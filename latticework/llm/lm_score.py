@@ -3,8 +3,9 @@
 score = (bytes under the general dictionary - bytes under the in-domain one) / bytes of the text,
 both by zstandard; higher means closer to the domain. The dictionaries are raw content chosen in
 the manner of FASTCOVER over the whole corpus: (1) every 8-byte window of every document is counted
-in a hashed table per domain, tables are summed by bucket in a shuffle; (2) every 64-byte segment
-is scored by its windows' counts, the best segment of each slot is kept
+in a hashed table per domain, tables are summed by bucket in a shuffle; (2) every 64-byte segment at
+half-overlapping starts, a text's last 64 bytes and the whole of a shorter text
+are scored by their windows' counts, the best segment of each slot is kept
 (a combinable maximum); (3) the driver takes segments from those greedily,
 discounting windows already covered. The counts, slots and dictionaries grow with the square root of the
 corpus' bytes (``sizes``). Two tables of counts, a segment for each slot and the dictionaries
@@ -102,19 +103,24 @@ def counts(flagged: DataFrame, buckets: int = 1 << TABLE_BITS) -> DataFrame:
 
 
 def best_segments(data: bytes, table: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, score, slot) of a text's segments at half-overlapping starts."""
+    """(start, score, slot) of a text's segments: at half-overlapping starts, and its last one.
+
+    A text shorter than a segment is one; a text without a window (under 8 bytes) has none.
+    """
     w = windows(data, len(table))
-    if len(data) < SEGMENT:
+    if not len(w):
         return (np.empty(0, np.int64),) * 3
-    sums = np.concatenate([[0], np.cumsum(table[w])])
-    start = np.arange(0, len(data) - SEGMENT + 1, SEGMENT // 2)
-    span = SEGMENT - 7
-    return start, sums[start + span] - sums[start], w[start] % slots
+    sums = np.concatenate([[0], np.cumsum(table[w], dtype=np.int64)])
+    last = max(0, len(data) - SEGMENT)
+    start = np.unique(np.append(np.arange(0, last + 1, SEGMENT // 2), last))
+    # short texts often begin alike, so their slot follows their end too
+    slot = w[start] if len(data) >= SEGMENT else w[:1] + w[-1:]
+    return start, sums[np.minimum(start + SEGMENT - 7, len(w))] - sums[start], slot % slots
 
 
 def candidates(flagged: DataFrame, tables: np.ndarray, slots: int = SLOTS) -> DataFrame:
     """The best segment of each slot and kind (0 general, 1 in-domain): kind, slot, score, segment."""
-    shared = flagged.sparkSession.sparkContext.broadcast(tables)
+    shared = flagged.sparkSession.sparkContext.broadcast(tables.astype(np.min_scalar_type(tables.max())))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[dict[int, tuple[int, bytes]]] = [{}, {}]
@@ -144,7 +150,8 @@ def assembled(segments: list[tuple[int, bytes]], table: np.ndarray, size: int =
     heapq.heapify(heap)
     seen = np.zeros(len(table), bool)
     out: list[bytes] = []
-    while heap and len(out) * SEGMENT < size:
+    filled = 0
+    while heap and filled < size:
         score, s = heapq.heappop(heap)
         w = np.unique(windows(s, len(table)))
         now = -int(table[w[~seen[w]]].sum())
@@ -154,6 +161,7 @@ def assembled(segments: list[tuple[int, bytes]], table: np.ndarray, size: int =
             continue
         seen[w] = True
         out.append(s)
+        filled += len(s)
     return b"".join(reversed(out))
 
 
@@ -208,8 +216,9 @@ def score(docs: DataFrame, general: bytes, domain: bytes) -> DataFrame:
 def cross_entropy(docs: DataFrame, domain: DataFrame) -> DataFrame:
     """Scores of all documents, the dictionaries learned from all of them and those whose ids ``domain`` has.
 
-    Without documents in the domain both dictionaries are equal in kind to none for that
-    side: an empty domain compresses without a dictionary.
+    One row per input row; texts are counted and compressed whole, however long. Null and empty texts score 0. A null id
+    is in no domain; rows that repeat a domain's id all count for it. Ties between segments go to the larger bytes, so
+    reruns agree. Other columns are ignored. An empty domain compresses without a dictionary. No rows give none.
     """
     prepare(docs.sparkSession)
     return score(docs, *dictionaries(docs, domain))

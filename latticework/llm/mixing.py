@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
+from ..plans.numbering import numbered
 from .common import WORD, prepare
 
 #: Documents a block flies together on average.
@@ -166,7 +167,7 @@ def _land(rows: DataFrame, seed: int) -> DataFrame:
     names = rows.columns
 
     def run(pdf):
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "h", "h2"], ascending=[False, True, True], kind="stable")
         pdf["chance"] = landed(pdf["size"].to_numpy(), pdf["chance"].to_numpy(), seed * 0x9E3779B9 + int(pdf["source_no"].iloc[0]) + 1)
         return pdf[names]
 
@@ -176,7 +177,7 @@ def _land(rows: DataFrame, seed: int) -> DataFrame:
 def _fly(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
     """One level over rows (h, source_no, size, chance, ...): same rows with new chances."""
     block = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(blocks)).cast("int")
-    ready = rows.withColumn("block", block).repartition("block", "source_no").sortWithinPartitions("block", "source_no", F.desc("size"), "h", "doc_id")
+    ready = rows.withColumn("block", block).repartition("block", "source_no").sortWithinPartitions("block", "source_no", F.desc("size"), "h", "h2")
     order = ready.columns
     i_block, i_source, i_size, i_chance = (order.index(x) for x in ("block", "source_no", "size", "chance"))
 
@@ -216,31 +217,64 @@ def _fly(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
     return ready.mapInArrow(run, ready.schema).drop("block")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with h and h2 (replacing columns so named): 128 bits of hash of (doc_id as long, source, text), nulls told apart from values."""
+    own = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    marked = [x for c in own for x in (c, c.isNull())]
+    return docs.withColumns({"h": F.xxhash64(*marked), "h2": F.xxhash64(F.lit("mix"), *reversed(marked))})
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words of the text (null: 0) and a hash of the row."""
+    """(doc_id, source, size, h, h2): words of the text (null: 0) and the row's hash."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("h"))
+    return keyed(docs.select("doc_id", "source", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), "h", "h2")
+
+
+def targeted(rows: DataFrame, weights: dict[str | None, float] | None, ceiling: float) -> DataFrame:
+    """(source, source_no, source_size, n, target) of rows (source, size), as ``targets`` and ``weights_by_order`` say.
+
+    Sources stay a table however many there are. The level L, with targets min(L * weight, ceiling * size),
+    only rises from round to round, so a round is one aggregate over that table and the driver holds L alone.
+    """
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    own = numbered(totals, [F.col("source").asc_nulls_last()], "source_no")
+    if weights is None:
+        weight = F.pmod("source_no", F.lit(3)) + 1.0
+    else:
+        named = {k: float(v) for k, v in weights.items() if k is not None}
+        found = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("source")] if named else F.lit(None).cast("double")
+        found = F.coalesce(found, F.when(F.col("source").isNull(), F.lit(weights.get(None)).cast("double")))
+        weight = F.coalesce(found, F.raise_error(F.concat(F.lit("mixing: no weight for source "), F.coalesce("source", F.lit("null")))).cast("double"))
+    own = written(own.withColumn("weight", weight.cast("double")), "sources")
+    most = F.col("source_size") * F.lit(float(ceiling))
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("weight") * level > most
+        w, held, size, n = own.agg(F.sum(F.when(~over, F.col("weight"))), F.sum(F.when(over, most)), F.sum("source_size"), F.count_if(over)).first()
+        if n == capped or not w:
+            break
+        capped, level = n, (float(size) - (held or 0.0)) / w
+    return own.select("source", "source_no", "source_size", "n", F.least(F.col("weight") * level, most).alias("target"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, ceiling: float = 3.0, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken, h.
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken, h, h2.
 
     One row per input row. Null text has size 0. A null source is a source of its own. Sources
     without words have target 0 and nothing is taken of them. Equal rows are separate
     documents; a null doc_id is as any other. No rows give none. Without ``weights`` the
-    sources weigh 1, 2, 3, repeating, by code point, null last.
+    sources weigh 1, 2, 3, repeating, by code point, null last; a source that given weights lack is an error.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = written(sized(docs), "sizes")
-    # sources are few (a row each on the driver); documents are not collected
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r["source"]: int(r["size"]) for r in totals}
-    want = targets(sizes, weights or weights_by_order(list(sizes)), ceiling)
-    number = {s: i for i, s in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}
-    rate = {s: want[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
-    table = spark.createDataFrame([(s, number[s], sizes[s], float(want[s]), int(rate[s] + 1e-12), max(0.0, rate[s] - int(rate[s] + 1e-12))) for s in sizes] or [(None, 0, 0, 0.0, 0, 0.0)], "source string, source_no int, source_size long, target double, whole long, chance double")
-    flying = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]), "left").drop(table["source"])
-    blocks = max(1, -(-sum(int(r["n"]) for r in totals) // block))
+    table = written(targeted(rows, weights, ceiling), "targets")
+    n, sources = table.agg(F.sum("n"), F.count(F.lit(1))).first()
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(rate + 1e-12).cast("long")
+    table = table.select(F.col("source").alias("__s"), F.col("source_no").cast("int").alias("source_no"), "source_size", "target", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("chance"))
+    # the table is read from files, so its size is known: Spark broadcasts it only while that is small
+    flying = rows.join(table, rows["source"].eqNullSafe(table["__s"])).drop("__s")
+    blocks = max(1, -(-(n or 0) // block))
     level, decided = 0, None
     while True:
         flying = written(_fly(flying, blocks, seed + level) if blocks > 1 else _land(flying, seed), "flight")
@@ -250,6 +284,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, ceiling
             break
         flying = flying.where("chance > 0d and chance < 1d")
         # at most two are left of each source in a block; a level has at most a fourth of the blocks
-        blocks, level = max(1, min(blocks // 4, -(-2 * blocks * len(sizes) // block))), level + 1
+        blocks, level = max(1, min(blocks // 4, -(-2 * blocks * sources // block))), level + 1
     copies = F.col("whole") + F.col("chance").cast("long")
-    return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
+    return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h", "h2")

@@ -121,6 +121,16 @@ def test_chances_and_totals_are_kept():
     assert abs(hits / 60 - 0.3).mean() < 0.06
 
 
+def test_targets_of_a_table_are_those_of_the_dictionary(spark):
+    r = random.Random(5)
+    for weights in (None, {f"s{i}": r.choice([0.5, 1, 40]) for i in range(12)} | {None: 2.0}):
+        sizes = {f"s{i}": r.choice([0, 1, 10, 500, 10_000]) for i in range(12)} | {None: 70}
+        rows = frame(spark, [(s, n) for s, n in sizes.items()], "source string, size long")
+        want = mixing.targets(sizes, weights or mixing.weights_by_order(list(sizes)))
+        got = {x["source"]: x["target"] for x in mixing.targeted(rows, weights, 3.0).collect()}
+        assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_mix_awkward(spark):
     got = mixing.mix(awkward(spark)).toPandas()
     assert len(got) == len(AWKWARD) and (got["taken"] <= 3 * got["size"]).all()
@@ -180,7 +190,7 @@ def test_best_segment_of_each_slot_against_brute_force(spark):
     for i, t in enumerate(texts):
         data = t.encode()
         for k in range(1 + (i == 1)):
-            for at in range(0, len(data) - 63, 32):
+            for at in {*range(0, len(data) - 63, 32), len(data) - 64}:
                 w = lm_score.windows(data[at : at + 64])
                 key = (k, int(w[0]) % lm_score.SLOTS)
                 want[key] = max(want.get(key, (-1, b"")), (int(tables[k][w].sum()), data[at : at + 64]))
@@ -188,6 +198,20 @@ def test_best_segment_of_each_slot_against_brute_force(spark):
     assert got == want and len(want) > 600
 
 
+def test_one_long_text_fills_a_dictionary_and_short_texts_give_one(spark):
+    r = random.Random(12)
+    long = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(30_000))
+    general, inside = lm_score.dictionaries(frame(spark, [(1, long, "en", "s", 0)]), frame(spark, [(1,)], "doc_id long"))
+    assert general == inside and len(general) > 0.9 * lm_score.DICT_BYTES
+    start, _, _ = lm_score.best_segments(long.encode(), np.ones(1 << lm_score.TABLE_BITS, np.int64))
+    assert start[-1] == len(long) - 64 and set(np.diff(start)) <= set(range(1, 33))
+    short = frame(spark, [(i, f"short text no {i}" if i % 2 else f"another text {i}", "en", "s", 0) for i in range(2000)])
+    general, inside = lm_score.dictionaries(short, short.where("doc_id % 2 = 1").select("doc_id"))
+    assert len(general) > 5000 and len(inside) > 5000 and b"another" not in inside
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(short, general, inside).collect()}
+    assert sum(got[i] for i in range(1, 2000, 2)) > sum(got[i] for i in range(0, 2000, 2))
+
+
 def test_what_is_gathered_grows_with_the_corpus(spark):
     small, large = (lm_score.sizes(n) for n in (10**6, 10**9))
     assert all(b > 5 * a for a, b in zip(small, large)) and lm_score.sizes(0) == (1 << lm_score.TABLE_BITS, lm_score.SLOTS, lm_score.DICT_BYTES)
@@ -429,12 +453,35 @@ def test_languages_of_held_out_documents(spark):
 
 
 def test_backoff():
-    model = {"langs": ["a", "b"], "words": {"the": (-1.0, -5.0)}, "grams": {4: {}, 3: {"zzz": (-9.0, -1.0)}, 2: {}, 1: {"q": (-2.0, -3.0)}}}
+    zero = (-9.0, -9.0)
+    model = {"langs": ["a", "b"], "base": dict.fromkeys(range(5), zero), "tokens": {0: {"the": ((0, 8.0), (1, 4.0))}, 4: {}, 3: {"zzz": ((1, 8.0),)}, 2: {}, 1: {"q": ((0, 7.0), (1, 6.0))}}}
     s = langid.Scorer(model)
     assert s("the the")[0] == "a" and s("zzzz")[0] == "b" and s("q")[0] == "a"
     assert s(None) == s("") == s("12 ...") == s("½ ²") == ("und", 0.0)
 
 
+def test_small_and_many_languages_keep_their_words(spark):
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(5, 9)))
+    small = [word("uvwxyz") for _ in range(243)]
+    rows = [(i, " ".join(word("abcdefghijkl") for _ in range(75)), "big", "s", 0) for i in range(2000)]
+    rows += [(5000 + i, " ".join(r.choice(small) for _ in range(40)), "small", "s", 0) for i in range(40)]
+    model = langid.learned(frame(spark, rows), F.lit(True))
+    at = model["langs"].index("small")
+    assert sum(any(i == at for i, _ in model["tokens"][0].get(w, ())) for w in set(small)) > 230
+    many = frame(spark, [(i, f"{chr(0x4E00 + 7 * (i % 300))}{chr(0x6000 + i % 300)} und", f"l{i % 300:03d}", "s", 0) for i in range(900)])
+    model = langid.learned(many, F.lit(True))
+    got = langid.predicted(many, model).select("lang", "lang_pred").collect()
+    assert len(model["langs"]) == 300 and np.mean([x["lang"] == x["lang_pred"] for x in got]) == 1
+
+
+def test_language_ties_and_very_long_texts(spark):
+    rows = [(1, "aa bb", "x", "s", 0), (2, "aa bb", "a", "s", 0), (3, "cc " * 700_000, "long", "s", 0), (3, "cc " * 700_000, "long", "s", 0)]
+    df = frame(spark, rows)
+    got = langid.predicted(df, langid.learned(df, F.lit(True))).select("doc_id", "lang_pred").collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in got) == [(1, "a"), (2, "a"), (3, "long"), (3, "long")]
+
+
 def test_languages_awkward(spark):
     df = awkward(spark)
     got = langid.predicted(df, langid.learned(df, F.lit(True)))
@@ -619,3 +666,14 @@ def test_pipeline_stages_awkward(spark):
         assert got.count() <= 3 * len(AWKWARD)
         assert name == "byte_bpe" or got.columns == P.COLUMNS
         assert stage(spark, frame(spark, []), SF).count() == 0
+
+
+def test_pipeline_stages_take_int_ids_and_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    base = frame(spark, [(i, f"some words of text number {i} are here " * (1 + i % 3), "en", "ab"[i % 2], 0) for i in range(60)])
+    for name, stage in P.STAGES:
+        want = stage(spark, base, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+        clash = base.withColumn("doc_id", F.col("doc_id").cast("int")).withColumns({c: F.lit(7) for c in ("h", "h2", "copies", "n", "i", "x", "k", "score", "predicted", "lang_pred", "kept", "component_id", "n_tokens", "size", "target")})
+        got = stage(spark, clash, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+        assert len(want) > 0 and list(got.columns) == list(want.columns) and got.astype(str).equals(want.astype(str)), name
