@@ -13,10 +13,13 @@ of similarity 0.8 lies beyond D with chance below 2e-4, one of 0.85 below 1e-6.
 
 Hot groups: documents with equal sets are one class (combined before the shuffle), only
 classes enter the join. Within a key's bucket every class is compared with the bucket's
-smallest id only. Members confirmed against it are connected already. The others are
-compared with those members that the triangle inequality of the signature distance leaves
-possible (|h(x) - h(y)| <= D), so no link between components can be missed and a
-bucket of copies costs as many pairs as it has rows.
+smallest id first, which connects copies at the cost of as many pairs as a bucket has rows. What is left are
+pairs of a bucket that lie in different components so far. A bucket of at most ``CROWD`` classes gives them
+directly, so a class has a bounded number of them. Classes of larger buckets (templates, shared passages: near
+in signature, yet mostly not similar) meet by an exact prefix join instead: a set's shingles
+are ordered by how rare they are, and two sets of similarity t share one of the first few of them, early enough to
+leave room for the wanted overlap (Xiao et al. 2008, "PPJoin"). Rareness is a table of hashed counts of a fixed size; any one order
+keeps the join exact. So no link between components is missed, and documents that share a template but no link cost no pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import dropped, written
 from .common import components, prepare, shingles
 
 SYMBOLS, CHUNKS, BITS = 65, 13, 16
@@ -156,6 +159,63 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> D
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Classes of a bucket that are compared with each other; larger buckets go to the prefix join.
+CROWD = 32
+#: Counters that order shingles by rareness (4 bytes each to broadcast).
+COUNTERS = 1 << 20
+
+
+def rareness(texts: DataFrame, width: int) -> np.ndarray:
+    """Counts of the shingles of all ``texts`` by the upper bits of their hash; COUNTERS numbers whatever the data."""
+    shift = np.uint64(64 - (COUNTERS - 1).bit_length())
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for part in parts:
+            for x in part.column(0):
+                np.add.at(n, (shingles(x.as_buffer(), width) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
+
+    got = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint32)
+    out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, width: int, per_cent: int) -> DataFrame:
+    """(token, rep, label, size, place, short) of the rare shingles by which sets of (rep, label, text) can meet; ``short``: as the smaller set."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shift = np.uint64(64 - (COUNTERS - 1).bit_length())
+    names = ["token", "rep", "label", "size", "place", "short"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for rep, label, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                h = shingles(x.as_buffer(), width)
+                n = len(h)
+                if not n:
+                    continue
+                probe = n + (-per_cent * n) // 100 + 1
+                own = n + (-2 * per_cent * n) // (100 + per_cent) + 1
+                first = h[np.lexsort((h, shared.value[(h >> shift).astype(np.int64)]))[:probe]]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(k, rep)), pa.array(np.full(k, label)), pa.array(np.full(k, n)), pa.array(np.arange(k)), pa.array(np.arange(k) < own)], names=names)
+
+    return texts.select("rep", "label", "text").mapInArrow(run, "token long, rep long, label long, size long, place long, short boolean")
+
+
+def prefix_join(texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among (rep, label, text) that may have the similarity: every such pair that has it, and few others."""
+    rows = written(prefixes(texts, rareness(texts, width), width, per_cent), "prefixes")
+    x = rows.where("short").select("token", *(F.col(c).alias("x_" + c) for c in ("rep", "label", "size", "place")))
+    y = rows.select("token", *(F.col(c).alias("y_" + c) for c in ("rep", "label", "size", "place")))
+    # the sets' order by size, the least size, and room for the overlap after the place where they meet
+    fits = f"""x_label <> y_label and (x_size < y_size or (x_size = y_size and x_rep < y_rep)) and 100 * x_size >= {per_cent} * y_size
+        and {100 + per_cent} * least(x_size - x_place, y_size - y_place) >= {per_cent} * (x_size + y_size)"""
+    return x.join(y, "token").where(fits).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets are similar: doc_id, n_shingles, component_id, kept.
 
@@ -177,24 +237,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
     possible = F.expr(f"h <= {MAX_DISTANCE} and 100 * least(na, nb) >= {per_cent} * greatest(na, nb)")
     linked = written(confirmed(stars.where(possible), docs, width, per_cent), "linked")
 
-    # classes that their bucket's head doesn't hold, against the bucket's others
-    known = stars.join(linked.withColumn("yes", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("rep"), "h", F.coalesce("yes", F.lit(False)).alias("yes"))
-    wide = members.where("n > 2").join(known, ["head", "rep"]).select("key", "rep", "h", "yes")
-    loose = wide.where("not yes").select("key", F.col("rep").alias("x"), F.col("h").alias("hx"))
-    cross = (
-        loose.join(wide, "key")
-        .where(f"x <> rep and abs(h - hx) <= {MAX_DISTANCE} and (yes or x < rep)")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    # of each bucket that isn't one component yet, its classes with their components so far
+    roots = written(components(linked), "roots")
+    own = members.join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_ = written(own.join(mixed.hint("shuffle_hash"), "key"), "open")
+    few = open_.where(f"n <= {CROWD}")
+    one, two = few.select("key", F.col("rep").alias("x"), F.col("label").alias("lx")), few.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"))
+    near = one.join(two, "key").where("x < y and lx <> ly").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    crowd = open_.where(f"n > {CROWD}").select("rep", "label").distinct()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    texts = written(sifted(named, crowd.select(F.col("rep").alias("doc_id"))).join(crowd.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "label", "text"), "crowd")
+    cross = near.unionByName(prefix_join(texts, width, per_cent)).distinct()
     second = written(_distances(cross, classes).where(possible), "cross")
-    more = confirmed(second, docs, width, per_cent)
+    more = written(confirmed(second, docs, width, per_cent), "more")
 
     named = rows.join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     several = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     same = named.join(several, "doc_id").select("a", F.col("rep").alias("b"))
-    roots = components(linked.unionByName(more).unionByName(same))
-    found = named.join(roots.toDF("rep", "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
+    # the components so far are the nodes of what was found since
+    late = more.unionByName(same)
+    for c in ("a", "b"):
+        late = late.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    top = components(late.select("a", "b"))
+    for x in (members, stars, open_, texts, second):
+        dropped(x)
+    found = named.join(roots.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(top.toDF("label", "root"), "label", "left")
+    component = F.coalesce("root", "label", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -292,6 +292,39 @@ def test_group_whose_head_lacks_a_link(spark):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def test_a_template_gives_no_pairs(spark):
+    """Documents of 200 shared and 50 own words: near in signature, none linked; pairs don't grow with their square."""
+    for n in (300, 2400):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("array_join(concat(transform(sequence(1, 200), i -> 't' || i), transform(sequence(1, 50), i -> 'o' || (id * 50 + i))), ' ')").alias("text"))
+        texts = docs.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"), "text")
+        assert minhash.prefix_join(texts, 2, 80).count() <= n
+        if n == 300:
+            got = minhash.near_duplicates(docs, 2)
+            assert got.where("kept").count() == n
+
+
+def test_prefix_join_against_brute_force(spark):
+    texts = corpus(seed=11, n=250)
+    w = [t.split() for t in texts]
+    sets = [{tuple(x[i : i + min(2, len(x))]) for i in range(len(x) - min(2, len(x)) + 1)} for x in w]
+    pairs = lambda p: {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= p * len(a | b)}
+    df = frame(spark, [(i, i, t) for i, t in enumerate(texts)], "rep long, label long, text string")
+    for p in (60, 80, 95):
+        got = {tuple(r) for r in minhash.prefix_join(df, 2, p).collect()}
+        assert pairs(p) <= got
+
+
+def test_crowded_buckets_against_brute_force(spark):
+    """A large bucket of a template in which some documents are linked, though not to its smallest id."""
+    r = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    texts = [" ".join(base + [f"o{k}_{i}" for i in range(r.choice([10, 25, 40]))]) for k in range(150)]
+    texts += [t + " z" * (k % 2) + f" y{k}" for k, t in enumerate(texts[20:60])]
+    _, roots = _brute(texts, 2)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == roots and len(set(roots)) > 50
+
+
 def test_near_duplicates_awkward(spark):
     got = minhash.near_duplicates(awkward(spark), 2)
     rows = got.collect()
