@@ -358,19 +358,83 @@ def test_vectors_against_brute_force(spark):
     assert [got[i]["component_id"] for i in range(300)] == label.tolist()
 
 
-def test_recall_of_the_buckets():
+def _pairs_at(x, least, r):
+    """For unit rows x, unit rows at just that cosine."""
+    z = r.standard_normal(x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    return least * x + math.sqrt(1 - least * least) * z / np.linalg.norm(z, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("d", [2, 4, 64, 768])
+@pytest.mark.parametrize("n", [10_000, 1_000_000_000])
+@pytest.mark.parametrize("shared", [0.0, 1.6])
+def test_recall_of_the_buckets(d, n, shared):
     r = np.random.default_rng(8)
-    a = r.standard_normal((600, 64))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    z = r.standard_normal((600, 64))
-    z -= (z * a).sum(1)[:, None] * a
-    b = 0.9 * a + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
-    for n in (10_000, 1_000_000):
-        depth, tables = embed_dedup.chosen(n, 64)
-        x, y = (embed_dedup.buckets(q, tables, depth) for q in (a, b))
-        hit = [bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist())]
-        assert np.mean(hit) >= 0.99
-    assert np.allclose(embed_dedup.hadamard(embed_dedup.hadamard(a)), a)
+    mean = r.standard_normal(d)
+    mean *= shared / np.linalg.norm(mean)
+    draw = lambda k: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(r.standard_normal((k, d)) / math.sqrt(d) + mean)
+    centre, depth, tables = embed_dedup.fitted(draw(1000), n, 0.9)
+    assert tables <= embed_dedup.MOST_TABLES and depth >= (1 if d < 64 or shared and d > 64 else {10_000: 2, 1_000_000: 2, 1_000_000_000: 3}[n] - (shared > 0))
+    a = draw(300)
+    b = _pairs_at(a, 0.9, r)
+    x, y = (embed_dedup.buckets(q - centre, tables, depth) for q in (a, b))
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist())]) >= (0.99 if d > 4 and not shared else 0.95)
+    h = r.standard_normal((9, 64))
+    assert np.allclose(embed_dedup.hadamard(embed_dedup.hadamard(h)), h)
+
+
+def _links(v, least=0.9):
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_vectors_that_share_a_direction(spark):
+    """Mean cosine 0.72 and no link but the planted ones: buckets stay small, links are found."""
+    r = np.random.default_rng(3)
+    mean = r.standard_normal(64)
+    for n in (500, 1000):
+        v = r.standard_normal((n, 64)) / 8 + 1.6 * mean / np.linalg.norm(mean)
+        for i in range(0, 60, 2):
+            v[i + 1] = v[i] + r.standard_normal(64) * 0.02
+        near = _links(v)
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        assert near.any(0)[:60].all() and (u @ u.T).mean() > 0.7
+        centre, depth, tables = embed_dedup.fitted(u, n, 0.9)
+        keys = embed_dedup.buckets(u - centre, tables, depth)
+        sizes = np.unique(keys, return_counts=True)[1]
+        assert sizes.max() <= 0.2 * n
+        if n == 500:
+            got = {x["vec_id"]: x["n_links"] for x in embed_dedup.near_vectors(frame(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+            want = near.sum(1)
+            assert sum(min(got[i], want[i]) for i in range(n)) >= 0.9 * want.sum() and all(got[i] <= want[i] for i in range(n))
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    """Several narrow topics: the mean of all doesn't help, that of a bucket does."""
+    monkeypatch.setattr(embed_dedup, "CROWD", 20)
+    r = np.random.default_rng(5)
+    topics = r.standard_normal((4, 32))
+    v = np.stack([topics[i % 4] / np.linalg.norm(topics[i % 4]) * 1.5 + r.standard_normal(32) / 6 for i in range(400)])
+    for i in range(0, 80, 8):
+        v[i + 4] = v[i] + r.standard_normal(32) * 0.01
+    near = _links(v, 0.97)
+    df = frame(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: x["n_links"] for x in embed_dedup.near_vectors(df, least=0.97).collect()}
+    assert sum(min(got[i], n) for i, n in enumerate(near.sum(1))) >= 0.9 * near.sum() and all(got[i] <= n for i, n in enumerate(near.sum(1)))
+
+
+def test_borderline_cells_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    a = r.standard_normal(16)
+    a /= np.linalg.norm(a)
+    b = _pairs_at(a[None, :], 0.9, r)[0]
+    v = np.stack([(a, b)[i % 2] + r.standard_normal(16) * 0.02 for i in range(240)])
+    near = _links(v)
+    got = {x["vec_id"]: x for x in embed_dedup.near_vectors(frame(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i]["n_links"] for i in range(240)] == near.sum(1).tolist() and {got[i]["component_id"] for i in range(240)} == {0}
 
 
 def test_vectors_awkward(spark):
