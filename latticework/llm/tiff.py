@@ -2,8 +2,10 @@
 
 The reader (``pages``) takes either byte order, walks the chain of directories, decodes
 uncompressed, PackBits, LZW and deflate strips or tiles, undoes the horizontal (2)
-predictor, and gives one page for each directory. ``page_rows`` emits a row a page of a
-binary column. The writer stores bytes as 8-bit grey samples, for round trips.
+predictor, and gives one page for each directory. Samples of 1, 4, 8 and 16 bits are read, interleaved or in planes.
+``page_rows`` emits a row a page of a binary column; a page that can't be read gives a row with its error, and the
+walk goes on. A page of more than ``MOST_BYTES`` isn't decoded, nor a block beyond its size. The writer stores
+bytes as 8-bit grey samples, for round trips.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import prepare
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 UNIT, WIDTH = 576, 24
+#: Bytes of a page's samples that are decoded at most, and directories of a file.
+MOST_BYTES, MOST_PAGES = 1 << 28, 100_000
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
 
@@ -33,9 +37,9 @@ class TiffError(ValueError):
 # -- codecs
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, limit: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < limit:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -70,10 +74,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int = MOST_BYTES) -> bytes:
     """MSB-first codes of 9 to 12 bits, early change, 256 clears and 257 ends."""
     table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, bits, held, width, last = [], 0, 0, 9, None
+    out, size, bits, held, width, last = [], 0, 0, 0, 9, None
     for byte in data:
         held, bits = held << 8 | byte, bits + 8
         if bits < width:
@@ -87,7 +91,7 @@ def lzw_decode(data: bytes) -> bytes:
             width, last = 9, None
             continue
         if last is None:
-            if code >= len(table):
+            if code >= 256:
                 raise TiffError("bad LZW code")
             s = table[code]
         else:
@@ -99,6 +103,9 @@ def lzw_decode(data: bytes) -> bytes:
                 raise TiffError("bad LZW code")
             table.append(last + s[:1])
         out.append(s)
+        size += len(s)
+        if size >= limit:
+            break
         last = s
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
@@ -146,16 +153,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decoded(data: bytes, codec: int) -> bytes:
+def _decoded(data: bytes, codec: int, limit: int) -> bytes:
     if codec == NONE:
         return data
     if codec == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, limit)
     if codec == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, limit)
     if codec in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, limit)
         except zlib.error as e:
             raise TiffError(str(e)) from None
     raise TiffError(f"compression {codec} isn't read")
@@ -166,7 +173,7 @@ def _decoded(data: bytes, codec: int) -> bytes:
 
 @dataclass(frozen=True)
 class Page:
-    """One directory: 8-bit samples as (height, width, samples per pixel)."""
+    """One directory: samples as (height, width, samples per pixel), of 8 bits unless the file's are of 16."""
 
     index: int
     width: int
@@ -178,9 +185,8 @@ class Page:
     pixels: np.ndarray
 
 
-def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """Tags of every directory in the chain; a loop or a broken offset is an error."""
-    data = bytes(data)
+def directories(data: bytes) -> Iterator[dict[int, tuple | None]]:
+    """Tags of every directory in the chain, None for a value beyond the file; a loop or a broken offset is an error."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("no TIFF header")
     e = "<" if data[:2] == b"II" else ">"
@@ -188,61 +194,101 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         (at,) = struct.unpack_from(e + "I", data, 4)
         seen = set()
         while at:
-            if at in seen:
-                raise TiffError("directories form a loop")
+            if at in seen or len(seen) >= MOST_PAGES:
+                raise TiffError("directories form a loop" if at in seen else "too many directories")
             seen.add(at)
             (n,) = struct.unpack_from(e + "H", data, at)
-            tags = {}
+            tags: dict[int, tuple | None] = {}
             for i in range(n):
                 tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * i)
                 if kind not in _TYPES:
                     continue
-                size = struct.calcsize("=" + _TYPES[kind]) * count
+                one = struct.calcsize("=" + _TYPES[kind])
                 where = at + 10 + 12 * i
-                if size > 4:
+                if one * count > 4:
                     (where,) = struct.unpack_from(e + "I", data, where)
-                tags[tag] = struct.unpack_from(e + _TYPES[kind] * count, data, where)
+                whole = where + one * count <= len(data)
+                tags[tag] = struct.unpack_from(f"{e}{count * len(_TYPES[kind])}{_TYPES[kind][0]}" if kind != 2 else f"{count}s", data, where) if whole else None
             yield tags
             (at,) = struct.unpack_from(e + "I", data, at + 2 + 12 * n)
     except struct.error:
         raise TiffError("a directory lies beyond the file") from None
 
 
-def _undone(block: np.ndarray, predictor: int) -> np.ndarray:
-    if predictor == 2:
-        return np.cumsum(block, axis=1, dtype=np.uint8)
-    if predictor != 1:
-        raise TiffError(f"predictor {predictor} isn't read for 8-bit samples")
-    return block
+def _numbers(tags: dict[int, tuple | None], tag: int, *default: int, least: int = 0) -> tuple[int, ...]:
+    found = tags.get(tag, default or None)
+    if not found:
+        raise TiffError(f"tag {tag} is missing" if tag not in tags else f"tag {tag} has no readable value")
+    if any(not isinstance(x, int) or x < least for x in found):
+        raise TiffError(f"tag {tag} holds values that don't fit")
+    return found
+
+
+def _page(data: bytes, index: int, t: dict[int, tuple | None], e: str) -> Page:
+    (w, *_), (h, *_) = _numbers(t, 256, least=1), _numbers(t, 257, least=1)
+    k, codec, predictor = (_numbers(t, tag, 1, least=1)[0] for tag in (277, 259, 317))
+    kinds = _numbers(t, 258, 1, least=1)
+    bits, planar = kinds[0], _numbers(t, 284, 1)[0] == 2 and k > 1
+    if any(b != bits for b in kinds) or bits not in (1, 4, 8, 16):
+        raise TiffError(f"samples of {kinds} bits aren't read")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise TiffError(f"predictor {predictor} isn't read for samples of {bits} bits")
+    size = 2 if bits == 16 else 1
+    if w * h * k * size > MOST_BYTES:
+        raise TiffError(f"{w} x {h} x {k} samples are beyond {MOST_BYTES} bytes")
+    tiled = 322 in t
+    (bw, *_), (bh, *_) = (_numbers(t, 322, least=1), _numbers(t, 323, least=1)) if tiled else ((w,), (min(h, _numbers(t, 278, h, least=1)[0]),))
+    offsets, counts = (_numbers(t, 324), _numbers(t, 325)) if tiled else (_numbers(t, 273), _numbers(t, 279))
+    across, down = -(-w // bw), -(-h // bh)
+    planes, inner = (k, 1) if planar else (1, k)
+    if bw * inner * bh * size > MOST_BYTES:
+        raise TiffError(f"a block of {bw} x {bh} is beyond {MOST_BYTES} bytes")
+    if min(len(offsets), len(counts)) < across * down * planes:
+        raise TiffError("blocks are missing")
+    out = np.zeros((h, w, k), np.uint16 if bits == 16 else np.uint8)
+    for i in range(across * down * planes):
+        plane, j = divmod(i, across * down)
+        y, x = j // across * bh, j % across * bw
+        rows, stride = bh if tiled else min(bh, h - y), -(-bw * inner * bits // 8)
+        if offsets[i] + counts[i] > len(data):
+            raise TiffError("a block lies beyond the file")
+        raw = _decoded(data[offsets[i] : offsets[i] + counts[i]], codec, rows * stride)
+        if len(raw) < rows * stride:
+            raise TiffError("a block is too short")
+        flat = np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride)
+        if bits == 1:
+            flat = np.unpackbits(flat, axis=1)
+        elif bits == 4:
+            flat = np.stack([flat >> 4, flat & 15], axis=2).reshape(rows, -1)
+        elif bits == 16:
+            flat = flat.view(e + "u2")
+        block = flat[:, : bw * inner].reshape(rows, bw, inner)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=out.dtype)
+        out[y : y + rows, x : x + bw, plane if planar else slice(None)] = block[: h - y, : w - x, 0] if planar else block[: h - y, : w - x]
+    return Page(index, w, h, k, codec, predictor, tiled, out)
+
+
+def pages_or_errors(data: bytes) -> Iterator[Page | tuple[int, str]]:
+    """Each directory's page, or its index and error; an error in the chain itself ends it."""
+    data, index = bytes(data), 0
+    try:
+        for t in directories(data):
+            try:
+                yield _page(data, index, t, "<" if data[:2] == b"II" else ">")
+            except TiffError as error:
+                yield index, str(error)
+            index += 1
+    except TiffError as error:
+        yield index, str(error)
 
 
 def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file of 8-bit samples."""
-    for index, t in enumerate(directories(data)):
-        try:
-            w, h = t[256][0], t[257][0]
-            k = t.get(277, (1,))[0]
-            codec, predictor = t.get(259, (1,))[0], t.get(317, (1,))[0]
-            if any(b != 8 for b in t.get(258, (8,))) or t.get(284, (1,))[0] != 1:
-                raise TiffError("only interleaved 8-bit samples are read")
-            tiled = 322 in t
-            bw, bh = (t[322][0], t[323][0]) if tiled else (w, min(h, t.get(278, (h,))[0]))
-            offsets, counts = (t[324], t[325]) if tiled else (t[273], t[279])
-        except KeyError as missing:
-            raise TiffError(f"tag {missing} is missing") from None
-        out = np.zeros((h, w, k), np.uint8)
-        across = -(-w // bw) if tiled else 1
-        for i, (at, size) in enumerate(zip(offsets, counts)):
-            y, x = i // across * bh, i % across * bw
-            rows = bh if tiled else min(bh, h - y)
-            if rows <= 0:
-                break
-            raw = _decoded(data[at : at + size], codec)
-            if len(raw) < rows * bw * k:
-                raise TiffError("a block is too short")
-            block = _undone(np.frombuffer(raw, np.uint8, rows * bw * k).reshape(rows, bw, k), predictor)
-            out[y : y + rows, x : x + bw] = block[: h - y, : w - x]
-        yield Page(index, w, h, k, codec, predictor, tiled, out)
+    """The pages of a TIFF file; the first error is raised."""
+    for found in pages_or_errors(data):
+        if not isinstance(found, Page):
+            raise TiffError(found[1])
+        yield found
 
 
 # -- writing
@@ -287,40 +333,88 @@ def stored(payloads: list[bytes], width: int = WIDTH, codec: int = DEFLATE, pred
     return bytes(out)
 
 
+def joined(first: bytes, second: bytes) -> bytes:
+    """Two little-endian files of ``stored``, one page each, as one of two pages."""
+    shift = len(first)
+    out = bytearray(first + second[8:])
+    base = shift - 8
+    (at,) = struct.unpack_from("<I", second, 4)
+    (n,) = struct.unpack_from("<H", second, at)
+    for i in range(n):
+        entry = at + 2 + 12 * i
+        tag, kind, count = struct.unpack_from("<HHI", second, entry)
+        size = (2 if kind == 3 else 4) * count
+        (where,) = struct.unpack_from("<I", second, entry + 8)
+        if size > 4:
+            struct.pack_into("<I", out, base + entry + 8, base + where)
+        if tag in (273, 324):  # offsets of blocks
+            place = where if size > 4 else entry + 8
+            for j in range(count):
+                (v,) = struct.unpack_from("<I", second, place + 4 * j)
+                struct.pack_into("<I", out, base + place + 4 * j, base + v)
+    (own,) = struct.unpack_from("<I", first, 4)
+    (n,) = struct.unpack_from("<H", first, own)
+    struct.pack_into("<I", out, own + 2 + 12 * n, base + at)
+    return bytes(out)
+
+
 # -- columns
 
 
 def page_rows(files: DataFrame, key: str = "file_id", column: str = "data") -> DataFrame:
     """A row for each page of a binary column: key, page, width, height, samples, compression, predictor, tiled, pixels, error.
 
-    Null or empty data gives no page; a file that can't be read gives its pages up to there and
-    one row with its error. Equal files give equal rows; other columns are ignored.
+    Null or empty data gives no page; a page that can't be read gives a row with its error, and a broken chain of
+    directories one after the pages before. Pixels are bytes, 16-bit samples little-endian. Keys may be null or
+    repeat. Equal files give equal rows; other columns are ignored; no rows give none.
     """
     prepare(files.sparkSession)
     names = ["key", "page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"]
     kinds = [pa.string(), *[pa.int32()] * 6, pa.bool_(), pa.binary(), pa.string()]
     schema = pa.schema(list(zip(names, kinds)))
 
-    def rows(k: str, data: bytes) -> Iterator[tuple]:
-        at = 0
-        try:
-            for p in pages(data):
-                yield k, p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None
-                at = p.index + 1
-        except TiffError as e:
-            yield k, at, *[None] * 7, str(e)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], schema=schema)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for part in parts:
             for k, x in zip(part.column(0).to_pylist(), part.column(1)):
-                if x.is_valid and len(x.as_buffer()):
-                    for row in rows(k, x.as_py()):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], schema=schema)
+                if not x.is_valid or not len(x.as_buffer()):
+                    continue
+                for p in pages_or_errors(x.as_py()):
+                    if isinstance(p, Page):
+                        pixels = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
+                        rows.append((k, p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, pixels, None))
+                        held += len(pixels)
+                    else:
+                        rows.append((k, p[0], *[None] * 7, p[1]))
+                    if held > 1 << 23 or len(rows) >= 1024:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     out = files.select(F.col(key).cast("string").alias("key"), F.col(column).alias("data")).mapInArrow(run, "key string, page int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string")
     return out.withColumnRenamed("key", key)
 
 
+def text_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, data): a TIFF of two pages for each text, its payload in strips and its first 576 bytes in tiles; the codec follows the id."""
+    prepare(docs.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data = []
+            for k, x in zip(part.column(0).to_pylist(), part.column(1)):
+                codec, own = (NONE, DEFLATE, PACKBITS, LZW)[(k or 0) % 4], payload(x.as_buffer().to_pybytes() if x.is_valid else b"")
+                first, second = stored([own], codec=codec), stored([own[:UNIT]], codec=codec, predictor=2, tile=16)
+                data.append(joined(first, second))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, data binary")
+
+
 def payload(data: bytes) -> bytes:
     """The bytes with 255s appended up to a positive multiple of UNIT."""
     return data + b"\xff" * ((-len(data)) % UNIT or (UNIT if not data else 0))
