@@ -111,12 +111,12 @@ _PLACED = "SELECT *, row_number() OVER (PARTITION BY archive ORDER BY position)
 
 ORACLE_SQL: dict[str, str] = {
     "op10_warc_fixity": f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, row_number() OVER (ORDER BY page_id NULLS LAST) - 1 AS place, coalesce(page_id, -1) AS at FROM pages),
-d AS (SELECT *, place // {PER_ARCHIVE} AS archive, CASE WHEN at % 997 = 5 THEN '#' || substring(html, 2)
-    WHEN at % 1499 = 7 THEN substring(html, 1, greatest(length(html) - 10, 0)) || '0000000000' ELSE html END AS bad FROM p),
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, row_number() OVER (ORDER BY page_id NULLS LAST) - 1 AS place, coalesce(page_id, -1) AS pid FROM pages),
+d AS (SELECT *, place // {PER_ARCHIVE} AS archive, CASE WHEN pid % 997 = 5 THEN '#' || substring(html, 2)
+    WHEN pid % 1499 = 7 THEN substring(html, 1, greatest(length(html) - 10, 0)) || '0000000000' ELSE html END AS bad FROM p),
 x AS (SELECT archive, place AS position, 'urn:page:' || coalesce(page_id::varchar, '') AS record_id, {_RECORD.format(h='html')} AS r FROM d),
-y AS (SELECT archive, 2 * place + CASE WHEN at % 3001 = 17 THEN 5 ELSE 0 END AS position, 'urn:page:' || coalesce(page_id::varchar, '') AS record_id, {_RECORD.format(h='bad')} AS r FROM d WHERE at % 1999 <> 11
-    UNION ALL SELECT archive, 2 * place + 1, 'urn:page:again:' || coalesce(page_id::varchar, ''), {_RECORD.format(h='html')} FROM d WHERE at % 2503 = 13),
+y AS (SELECT archive, 2 * place + CASE WHEN pid % 3001 = 17 THEN 5 ELSE 0 END AS position, 'urn:page:' || coalesce(page_id::varchar, '') AS record_id, {_RECORD.format(h='bad')} AS r FROM d WHERE pid % 1999 <> 11
+    UNION ALL SELECT archive, 2 * place + 1, 'urn:page:again:' || coalesce(page_id::varchar, ''), {_RECORD.format(h='html')} FROM d WHERE pid % 2503 = 13),
 x1 AS (SELECT archive, position, record_id, strlen(r) AS n, sha256(r) AS sha FROM x), y1 AS (SELECT archive, position, record_id, strlen(r) AS n, sha256(r) AS sha FROM y),
 x2 AS (SELECT *, hi - n AS lo FROM ({_PLACED.format('x1')})), y2 AS (SELECT *, hi - n AS lo FROM ({_PLACED.format('y1')})),
 l AS (SELECT *, sha256(lo::varchar || '-' || hi::varchar || ':' || sha) AS leaf FROM x2), m AS (SELECT *, sha256(lo::varchar || '-' || hi::varchar || ':' || sha) AS leaf FROM y2),

@@ -16,24 +16,73 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 BITS, ORDERS, MAX_TRAIN = 18, (3, 4, 5), 100_000
-#: host and path, with the label block = 1
-SEED: list[tuple[str, str, int]] = [
-    *[(h, p, 1) for h, p in [
-        ("casino-bonus.example", "/free-spins/"), ("best-casino.example", "/slots/jackpot"), ("cheap-pills.example", "/buy-viagra"), ("pharmacy-online.example", "/cialis-cheap"),
-        ("xxx-videos.example", "/porn/hd"), ("adult-cams.example", "/live-sex"), ("sexchat.example", "/webcam/girls"), ("hot-dating.example", "/hookup-tonight"),
-        ("free-download-crack.example", "/keygen/serial"), ("warez.example", "/torrent/cracked"), ("win-prize.example", "/claim-your-reward"), ("replica-watches.example", "/luxury-replica-cheap"),
-        ("payday-loans.example", "/instant-approval-loan"), ("bet-online.example", "/gambling/poker"), ("escort-service.example", "/escorts"), ("click-ads.example", "/adclick?redirect"),
-        ("seo-backlinks.example", "/buy-backlinks-cheap"), ("essay-writing.example", "/buy-essay-cheap"), ("crypto-doubler.example", "/double-your-bitcoin"), ("phish-login.example", "/verify-account-suspended"),
-    ]],
-    *[(h, p, 0) for h, p in [
-        ("www.university.example", "/en/research/2021"), ("blog.science.example", "/fr/article/12"), ("news.city.example", "/de/politik/2020"), ("docs.project.example", "/en/guide/install.html"),
-        ("library.school.example", "/catalog/books"), ("m.weather.example", "/es/madrid"), ("wiki.history.example", "/wiki/renaissance"), ("recipes.kitchen.example", "/soup/tomato"),
-        ("health.hospital.example", "/en/patients"), ("travel.guide.example", "/en/italy/rome"), ("museum.art.example", "/fr/exposition"), ("www.council.example", "/services/recycling"),
-        ("forum.linux.example", "/thread/10231"), ("music.radio.example", "/es/programas"), ("www.garden.example", "/plants/roses.html"), ("journal.medicine.example", "/issue/44/paper"),
-        ("blog.travel.example", "/en/35994"), ("www.example.com", "/en/index.html"), ("m.example.com", "/es/12034"), ("example.org", "/en/about"), ("www.example.org", "/de/90211/"), ("blog.example.com", "/fr/77410"),
-        ("code.repo.example", "/project/readme"), ("maths.example", "/lectures/algebra"),
-    ]],
-]
+#: The labelled table: addresses by what they are of, written for this module. ``example`` names no one.
+_BLOCK = (
+    # gambling
+    "luckyspin-casino.example/slots/free-spins royal-casino.example/blackjack/bonus megaslots.example/casino/jackpot onlinepoker-room.example/poker/deposit-bonus "
+    "sportsbet-live.example/betting/odds bingo-cash.example/bingo/welcome-bonus roulette-king.example/roulette/live 777slots.example/free-spins/no-deposit "
+    "bet-and-win.example/betting/football pokerstarz.example/poker/tournament casino-affiliates.example/bonus/codes slotmachine-fun.example/slots/play "
+    "cash-jackpot.example/jackpot/win cryptocasino.example/casino/dice lotto-tickets.example/lottery/buy-tickets gamblers-den.example/gambling/games "
+    # adult
+    "xxx-tube.example/porn/videos hotcams.example/live-sex/girls adultdate.example/hookup/tonight sexstories.example/erotic/stories "
+    "nude-gallery.example/nudes/amateur milf-videos.example/porn/milf escorts-city.example/escort/services camgirls-live.example/webcam/girls "
+    "fetish-club.example/fetish/videos sexychat.example/sex-chat/rooms pornhubster.example/porn/hd swingers.example/swinger/parties "
+    "adult-toys.example/sex-toys/buy strip-live.example/webcam/strip hentai-world.example/hentai/manga onlynudes.example/nudes/leaked "
+    # pills
+    "cheap-pharmacy.example/buy-viagra/online pills4u.example/cialis/cheap no-prescription-meds.example/buy/xanax weightloss-miracle.example/diet-pills/buy "
+    "canadian-pharma.example/viagra/generic steroids-shop.example/buy-steroids/oral tramadol-express.example/buy/tramadol male-enhancement.example/enlargement/pills "
+    "rx-discount.example/pharmacy/no-prescription botox-cheap.example/buy/botox genericmeds.example/cialis/generic hairloss-cure.example/miracle/pills "
+    "keto-gummies.example/weightloss/keto cbd-oils-cheap.example/buy-cbd/oil insulin-noscript.example/buy/no-prescription sleep-pills.example/buy/ambien "
+    # piracy
+    "crackedsoft.example/download/keygen warez-bb.example/cracked/software torrent-galaxy.example/torrent/movies free-serials.example/serial-keys/windows "
+    "moviez-hd.example/watch-free/full-movie nulled-themes.example/nulled/wordpress mp3-downloadz.example/free-mp3/download crack-games.example/torrent/pc-games "
+    "apk-modded.example/mod-apk/unlimited streamfree.example/watch-free/series keygen-store.example/keygen/office iptv-cheap.example/iptv/subscription "
+    "rarbg-mirror.example/torrent/latest activator-kms.example/crack/activator romz.example/roms/download ebook-pirate.example/free-ebooks/torrent "
+    # fraud
+    "secure-login-verify.example/account/suspended paypa1-update.example/verify/account bank-alert.example/login/confirm-identity prize-winner.example/claim/your-reward "
+    "free-giftcards.example/claim/gift-card iphone-giveaway.example/win/free-iphone crypto-doubler.example/double/bitcoin easy-money-home.example/earn/money-fast "
+    "forex-signals.example/guaranteed/profit payday-loan-now.example/instant/approval-loan refund-tax.example/claim/refund wallet-connect-verify.example/verify/seed-phrase "
+    "inheritance-fund.example/claim/funds survey-rewards.example/reward/claim-now bitcoin-profit-app.example/earn/bitcoin-profit apple-id-locked.example/verify/locked-account "
+    # spam
+    "seo-rank.example/buy-backlinks/cheap cheap-followers.example/buy-followers/instagram replica-rolex.example/replica/watches luxury-fakes.example/replica/handbags "
+    "essay-mill.example/buy-essay/cheap clickbank-offers.example/affiliate/offer popunder-ads.example/adclick/redirect doorway-pages.example/cheap/discount-deals "
+    "guestpost-seo.example/backlinks/guest-post traffic-bot.example/buy-traffic/cheap link-farm.example/links/buy-links email-blast.example/bulk-email/lists "
+    "like-seller.example/buy-likes/cheap dissertation-4u.example/buy-essay/dissertation fake-diplomas.example/buy/diploma autoblog-spin.example/article/spinner "
+)
+_ALLOW = (
+    # schools
+    "www.northcollege.example/research/projects physics.lakeside.example/courses/mechanics library.eastschool.example/catalogue/books history.oldtown.example/lectures/medieval "
+    "admissions.westfield.example/apply/undergraduate maths.riverside.example/notes/algebra chem.hillside.example/lab/safety alumni.parkview.example/news/reunion "
+    "bio.seaside.example/papers/genetics www.primaryschool.example/parents/calendar law.citycollege.example/faculty/staff thesis.archive.example/2019/abstract "
+    "geology.valley.example/field/trips music.conservatory.example/concerts/spring statistics.campus.example/seminar/bayes languages.institute.example/courses/spanish "
+    # news
+    "www.morningpaper.example/politics/election news.harbour.example/local/council daily.mountain.example/sport/cycling www.evening.example/world/europe "
+    "regional.news.example/weather/storm press.riverbank.example/economy/inflation www.gazette.example/culture/theatre radio.valley.example/programmes/morning "
+    "tv.coast.example/schedule/evening magazine.forest.example/features/interview zeitung.stadt.example/wirtschaft/energie journal.ville.example/societe/ecole "
+    "diario.ciudad.example/cultura/cine www.weekly.example/opinion/letters news.science.example/space/telescope www.bulletin.example/archive/1998 "
+    # public
+    "www.citycouncil.example/services/recycling health.region.example/vaccination/centres tax.office.example/forms/income parks.county.example/trails/map "
+    "transport.metro.example/timetable/line-4 police.district.example/report/lost-property museum.town.example/exhibitions/bronze court.state.example/rulings/2020 "
+    "census.bureau.example/tables/population water.board.example/quality/report fire.service.example/safety/home library.county.example/opening/hours "
+    "archive.national.example/records/letters meteo.service.example/forecast/week parliament.example/debates/minutes hospital.north.example/departments/cardiology "
+    # computing
+    "docs.toolkit.example/guide/install.html wiki.compiler.example/optimisation/passes forum.kernel.example/thread/10231 blog.database.example/2021/indexes "
+    "api.service.example/reference/v2 www.editor.example/plugins/list code.project.example/issues/512 manual.shell.example/commands/find "
+    "lists.devel.example/archive/2017-05 packages.distro.example/stable/utils learn.python.example/tutorial/functions bugs.tracker.example/show/9931 "
+    "release.notes.example/changelog/3.4 spec.standard.example/draft/http robotics.club.example/projects/arm stats.language.example/packages/plots "
+    # daily life
+    "recipes.kitchen.example/soup/tomato www.gardening.example/plants/roses travel.guide.example/italy/rome hiking.club.example/routes/ridge "
+    "knitting.circle.example/patterns/scarf birds.watch.example/species/heron www.bakery.example/menu/bread cycling.tours.example/france/loire "
+    "parents.forum.example/toddlers/sleep cooking.blog.example/2018/lentils chess.club.example/results/league camping.sites.example/lakes/booking "
+    "wood.workshop.example/joints/dovetail pets.advice.example/cats/feeding photo.album.example/landscapes/autumn weather.hobby.example/station/rain "
+    # letters
+    "poetry.archive.example/sonnets/18 www.booklovers.example/reviews/novel dictionary.words.example/etymology/bread philosophy.notes.example/kant/ethics "
+    "classics.reader.example/odyssey/book-9 art.gallery.example/painters/vermeer film.society.example/programme/noir opera.house.example/season/verdi "
+    "translation.guild.example/members/list folklore.tales.example/stories/fox linguistics.corner.example/syntax/trees essays.journal.example/issue/44 "
+    "religion.studies.example/texts/psalms encyclopedia.example/wiki/renaissance theatre.company.example/tickets/hamlet blog.writer.example/2020/drafts "
+)
+#: (host, path, label), block = 1
+SEED: list[tuple[str, str, int]] = [(h, "/" + p, y) for text, y in ((_BLOCK, 1), (_ALLOW, 0)) for h, _, p in (x.partition("/") for x in text.split())]
 #: (verdict, rule); a rule is a host and the start of a path
 RULES: tuple[tuple[str, str], ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -77,7 +126,8 @@ def features(host: str, path: str) -> np.ndarray:
 
 def trained(rows: list[tuple[str, str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept; the intercept starts at allow, features are scaled by 1/sqrt(n)."""
-    rows = rows[:MAX_TRAIN]
+    if len(rows) > MAX_TRAIN:  # a seeded sample, in the table's order
+        rows = [rows[i] for i in np.sort(np.random.default_rng(1).choice(len(rows), MAX_TRAIN, replace=False))]
     w, bias = np.zeros(1 << BITS), -1.0
     xs = [features(h, p) for h, p, _ in rows]
     for _ in range(rounds):
@@ -103,7 +153,8 @@ def judged(pages: DataFrame, labelled: list[tuple[str, str, int]] | None = None,
     """page_id, host, path, rule, verdict, score (chance of block by the model) for each row.
 
     Null urls and those without ``://`` have empty host and path and are allowed unless the model says
-    otherwise. Equal urls get equal rows; a null page_id stays; without rows there is no result row.
+    otherwise. Equal urls get equal rows, repeated rows stay repeated; a url is read whole, however long; a null page_id
+    stays; a chance of just ``threshold`` is block; other columns are ignored; without rows there is no result row.
     """
     spark = prepare(pages.sparkSession)
     shared = spark.sparkContext.broadcast(trained(SEED if labelled is None else labelled))

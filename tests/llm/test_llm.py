@@ -463,7 +463,7 @@ def _url_brute(url):
 
 
 def test_urls(spark):
-    urls = ["http://a.NET/x", "https://x.example.net/en/1", "http://example.net/en", "http://example.com/de/1?q", "http://b.example.com/de/", "http://w.org/fr/", "http://Org/fr/x", "http://notnet/x", "http://a.net", "http://a.net?x/", None, "", "no scheme", "a://b://c/d", "http://É.net/\n#f", "http://casino-bonus.example/free-spins/jackpot"]
+    urls = ["http://a.NET/x", "https://x.example.net/en/1", "http://example.net/en", "http://example.com/de/1?q", "http://b.example.com/de/", "http://w.org/fr/", "http://Org/fr/x", "http://notnet/x", "http://a.net", "http://a.net?x/", None, "", "no scheme", "a://b://c/d", "http://É.net/\n#f", "http://casino-bonus.example/free-spins/jackpot", "http://a.example/" + "x/" * 500_000]
     df = frame(spark, list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "verdict": F.lit(3)})
     got = {r["page_id"]: r for r in url_filter.judged(df).collect()}
     w, b = url_filter.trained(url_filter.SEED)
@@ -483,6 +483,18 @@ def test_url_model_learns_its_table():
     assert np.mean([(url_filter.chance(h, p, w, b) >= 0.5) == bool(y) for h, p, y in url_filter.SEED]) == 1
 
 
+def test_url_model_on_rows_that_it_has_not_seen():
+    """Five folds of the labelled table; no host of it is of the test tables' domains."""
+    rows = list(url_filter.SEED)
+    random.Random(2).shuffle(rows)
+    assert len(rows) >= 190 and len({h for h, _, _ in rows}) == len(rows) and not any(h.endswith(("example.com", "example.org", "example.net")) for h, _, _ in rows)
+    hits = []
+    for k in range(5):
+        w, b = url_filter.trained([x for i, x in enumerate(rows) if i % 5 != k])
+        hits += [(url_filter.chance(h, p, w, b) >= 0.5) == bool(y) for i, (h, p, y) in enumerate(rows) if i % 5 == k]
+    assert np.mean(hits) > 0.8
+
+
 # -- 6 toxicity
 
 
@@ -490,19 +502,24 @@ def test_grammar():
     plain = toxicity.clause_value([("O", 0), ("I", 2.0)])
     assert plain == 2.0 and toxicity.clause_value([("N", 0), ("O", 0), ("I", 2.0)]) == 1.0
     assert toxicity.clause_value([("R", 0), ("O", 0), ("I", 2.0)]) == pytest.approx(1.2)
-    assert toxicity.clause_value([("U", 0), ("O", 0), ("I", 2.0)]) == pytest.approx(2.6)
-    assert toxicity.clause_value([("T", 2.0)]) == 0 and toxicity.clause_value([("T", 2.0), ("U", 0)]) == 2.0
+    assert toxicity.clause_value([("U", 1), ("O", 0), ("I", 2.0)]) == pytest.approx(2.6)
+    assert toxicity.clause_value([("T", 2.0)]) == 0 and toxicity.clause_value([("T", 2.0), ("U", 1)]) == 2.0
+    assert toxicity.clause_value([("S", 4.0), ("O", 0), ("U", 1)]) == toxicity.clause_value([("U", 1), ("O", 0), ("S", 4.0)]) == 4.0
+    assert toxicity.clause_value([("T", 2.0), *[("O", 0)] * 5, ("U", 1)]) == 0 and toxicity.clause_value([("N", 0), ("T", 2.0), ("U", 1)]) == 1.0
+    assert toxicity.clause_value([("I", 2.0), ("O", 0), ("I", 2.0)]) == pytest.approx(4.4)
     assert toxicity.clause_value([("N", 0), ("O", 0), ("O", 0), ("O", 0), ("I", 2.0)]) == 2.0
 
 
 def test_composition_equals_running_in_turn():
     r = random.Random(3)
-    parts = [toxicity._window("N", "I", 0.5, 3), toxicity._window("R", "I", 0.6, 5), toxicity._window("U", "IT", 1.3, 4)]
-    for _ in range(200):
-        seq = [r.choice("ITUNRO") for _ in range(r.randint(1, 12))]
-        q, whole, state = 0, [], [0, 0, 0]
+    parts = [p for _, p in toxicity.PARTS]
+    machine = toxicity.grammar()
+    assert machine.states > 500
+    for _ in range(300):
+        seq = [r.choice("ITSUNRO") for _ in range(r.randint(1, 14))]
+        q, whole, state = 0, [], [0] * len(parts)
         for s in seq:
-            q, out, w = toxicity.GRAMMAR.table[(q, s)]
+            q, out, w = machine.table[(q, s)]
             factor, now = 1.0, s
             for k, p in enumerate(parts):
                 state[k], now, f = p.table[(state[k], now)]
@@ -511,6 +528,44 @@ def test_composition_equals_running_in_turn():
         assert all(whole)
 
 
+def test_lexicon_transducer():
+    t = toxicity.Trie()
+    for w in ("ab", "abcd*", "abcdef*", "abcdx"):
+        t.add(w, (w,))
+    assert [t.read(w) for w in ("ab", "abc", "abcd", "abcde", "abcdefg", "abcdx", "zz", "")] == [("ab",), None, None, ("abcd*",), ("abcd*",), ("abcdx",), None, None]
+
+
+def test_weights_as_columns(spark):
+    rows = [(a, b) for a in (0, 1, 2, 3, 7, 20, 40) for b in (0, 1, 2, 5, 300, 1000)]
+    got = frame(spark, rows, "pos long, neg long").select("pos", "neg", toxicity.weight_column(F.col("pos"), F.col("neg"), 40.0, 1000.0).alias("w")).collect()
+    assert all(r["w"] == pytest.approx(toxicity.weight(r["pos"], r["neg"], 40, 1000)) for r in got) and sum(r["w"] > 0 for r in got) > 5
+
+
+def test_threats_need_a_target(spark):
+    """A word that is toxic only next to a target is learned as a threat, and counts only there."""
+    r = random.Random(7)
+    vocab = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [r.choice(vocab) for _ in range(30)]
+        kind, verb, who = i % 6, ("frobb", "zlatt", "murgh")[i // 6 % 3], r.choice(["you", "your", "dich", "vous"])
+        rows.append((i, " ".join(w) + f". {verb} {who}. " * (kind == 0) + f". {verb} wood. " * (kind in (1, 2, 3)) + f". see {who}. " * (kind > 3) + " ".join(w[:9]), "en", "s", 0))
+        labels.append((i, 1, int(kind == 0)))
+    docs = frame(spark, rows)
+    model = toxicity.learned(docs, frame(spark, labels, "doc_id long, quality int, toxic int"), F.col("doc_id") % 5 != 0)
+    assert "!frobb" in model["lexicon"] and "frobb" not in model["lexicon"]
+    probe = frame(spark, [(1, "a frobb for you", None, None, 0), (2, "a frobb for wood", None, None, 0), (3, "you see", None, None, 0)])
+    assert {x["doc_id"]: x["predicted"] for x in toxicity.scored(probe, model).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_toxicity_ties_and_very_long_texts(spark):
+    model = toxicity.DEFAULT
+    long = "word " * 800_000
+    rows = [(1, long + "you idiot", None, None, 0), (2, long, None, None, 0), (3, "idiot", None, None, 0), (4, "idiot", None, None, 0)]
+    got = {x["doc_id"]: (x["predicted"], x["score"]) for x in toxicity.scored(frame(spark, rows), model).select("doc_id", "predicted", "score").collect()}
+    assert got[1][0] == 1 and got[2][0] == 0 and got[3] == got[4]
+
+
 def test_toxicity_is_learned(spark):
     r = random.Random(6)
     vocab = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 7))) for _ in range(500)]
