@@ -238,9 +238,9 @@ def analyze(t: Read):
     return part(t).analyze("p_size", "p_brand").df.drop("distinct_count")
 
 
-@query("SELECT row_number() OVER (ORDER BY v) - 1 AS i, v AS l_shipmode FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)")
+@query("SELECT row_number() OVER (ORDER BY v) - 1 AS i, v AS l_quantity FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)")
 def uniq(t: Read):
-    return lineitem(t).project("l_quantity").sort("l_quantity").uniq().df.withColumnRenamed("l_quantity", "l_shipmode")
+    return lineitem(t).project("l_quantity").sort("l_quantity").uniq()
 
 
 @query("SELECT c_custkey, c_acctbal / sqrt(sum(c_acctbal * c_acctbal) OVER ()) AS c_acctbal FROM customer")
@@ -248,11 +248,17 @@ def normalize(t: Read):
     return customer(t).project("c_acctbal").normalize()
 
 
-@query("SELECT 0 AS i, (SELECT count(DISTINCT l_partkey) FROM lineitem) > 0 AS plausible")
+@query("SELECT 0 AS i, count(DISTINCT l_partkey) AS exact, TRUE AS within, median(l_quantity) AS mid FROM lineitem")
 def approxdc(t: Read):
-    got = lineitem(t).aggregate("approxdc(l_partkey) as d")
-    exact = lineitem(t).df.agg(F.count_distinct("l_partkey").alias("e"))
-    return got.df.crossJoin(exact).select("i", (F.abs(F.col("d") - F.col("e")) <= 0.05 * F.col("e")).alias("plausible"))
+    """The approximate count lies within 5 % of the exact one; with the median beside it."""
+    got = lineitem(t).aggregate("approxdc(l_partkey) as d", "median(l_quantity) as mid")
+    exact = lineitem(t).df.agg(F.count_distinct("l_partkey").alias("exact"))  # one row
+    return got.df.crossJoin(exact).select("i", "exact", (F.abs(F.col("d") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"), "mid")
+
+
+@query("SELECT user_id, median(value) AS mid FROM events GROUP BY 1")
+def median_by_dim(t: Read):
+    return timeline(t).aggregate("median(value) as mid", "user_id")
 
 
 # -- windows
@@ -406,18 +412,33 @@ def gemm(t: Read):
     return a.gemm(a, c, "TRANSA=1;ALPHA=2;BETA=3")
 
 
-@query(f"WITH m AS ({_SMALL}) SELECT round(sum(v * v), 6) AS energy FROM m")
+@query(f"WITH m AS ({_EMB}), g AS (SELECT x.k AS a, y.k AS b, sum(x.v * y.v) AS g FROM m x JOIN m y ON x.vec_id = y.vec_id GROUP BY 1, 2) SELECT 64::bigint AS n, round((SELECT sum(v * v) FROM m), 4) AS squares, round((SELECT sum(g * g) FROM g), 2) AS fourths, TRUE AS falling")
 def gesvd(t: Read):
-    """The squares of the singular values add up to the squares of the cells."""
-    return _small(t).gesvd("S").df.agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
+    """Sums of the second and fourth powers of the singular values of all embeddings, and their order."""
+    sigma = matrix(t).bounded().gesvd("S").df
+    after = sigma.select((F.col("i") - 1).alias("i"), F.col("sigma").alias("next"))
+    both = sigma.join(after, "i", "left")
+    q = F.col("sigma") * F.col("sigma")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(q), 4).alias("squares"), F.round(F.sum(q * q), 2).alias("fourths"), F.min(F.coalesce(F.col("sigma") >= F.col("next"), F.lit(True))).alias("falling"))
+
+
+@query(f"WITH m AS ({_EMB}) SELECT vec_id, k, round(v, 4) + 0.0 AS v FROM m")
+def gesvd_product(t: Read):
+    """U, S and VT of all embeddings multiply to the matrix."""
+    a = matrix(t).bounded()
+    u, sigma, v = (a.gesvd(x).df for x in ("U", "S", "VT"))
+    us = u.join(sigma, "i").select("vec_id", "i", (F.col("u") * F.col("sigma")).alias("x"))
+    return us.join(v, "i").groupBy("vec_id", "k").agg((F.round(F.sum(F.col("x") * F.col("v")), 4) + 0.0).alias("v"))
 
 
 # -- proximity
 
 
-@query("WITH c AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 5 = 0), p AS (SELECT s_suppkey AS s, s_name, k, c_name, row_number() OVER (PARTITION BY s_suppkey ORDER BY (s_suppkey - k) * (s_suppkey - k), k) AS r FROM supplier JOIN c ON abs(s_suppkey - k) <= 2) SELECT s AS s_suppkey, s_name, c_name FROM p WHERE r = 1")
+@query("WITH c AS (SELECT c_custkey * 3 AS k, c_name FROM customer), p AS (SELECT o_orderkey, o_custkey, k, c_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY (o_orderkey - k) * (o_orderkey - k), k) AS r FROM orders JOIN c ON abs(o_orderkey - k) <= 1) SELECT o_orderkey, o_custkey, c_name FROM p WHERE r = 1")
 def bestmatch(t: Read):
-    return supplier(t).project("s_name").bestmatch(customer(t).filter("c_custkey % 5 = 0").project("c_name"), 2)
+    """Orders against customers, whose coordinates are spread by a factor of three."""
+    catalog = customer(t).apply("k", "c_custkey * 3").redimension("<c_name:string null>[k=0:*,1000,0]")
+    return orders(t).project("o_custkey").bestmatch(catalog, 1)
 
 
 @query("SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY (s_suppkey - c_custkey) * (s_suppkey - c_custkey), c_custkey) - 1 AS hit, s_name, c_name, c_custkey AS match_c_custkey FROM supplier JOIN customer ON abs(s_suppkey - c_custkey) <= 3")
@@ -492,3 +513,155 @@ def time_regrid(t: Read):
     a = ArrayFrame.from_table(e, [Dim("second", 0, None, 86_400), Dim("event_id", 0, None, 1 << 40)])
     got = a.regrid(3600, 1 << 40, "sum(value) as s", "count(*) as n")
     return got.df.select(F.col("second").alias("hour"), "s", "n")
+
+
+# -- functions
+
+
+@query("SELECT event_id, round(sin(value), 6) AS a, round(cos(value), 6) AS b, round(tan(value / 1000), 6) AS c, round(asin(value / 1e6), 6) AS d, round(acos(value / 1e6), 6) AS e, round(atan(value), 6) AS f, round(exp(value / 1000), 6) AS g, round(CASE WHEN value > 0 THEN ln(value) END, 6) AS h, round(CASE WHEN value > 0 THEN log10(value) END, 6) AS i FROM events")
+def math_functions(t: Read):
+    a = events(t).apply("a", "sin(value)", "b", "cos(value)", "c", "tan(value / 1000)", "d", "asin(value / 1000000.0)", "e", "acos(value / 1000000.0)", "f", "atan(value)", "g", "exp(value / 1000)", "h", "iif(value > 0, log(value), null)", "i", "iif(value > 0, log10(value), null)")
+    return a.df.select("event_id", *[F.round(c, 6).alias(c) for c in "abcdefghi"])
+
+
+@query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#1.*') AS ones, substring(p_brand, 7, 2) AS no, p_brand[1] AS first, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_size END IS NULL AS even, coalesce(CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_size END, 0) AS odd FROM part")
+def string_functions(t: Read):
+    a = part(t).apply("ones", "regex(p_brand, 'Brand#1.*')", "no", "substr(p_brand, 6, 2)", "first", "strchar(p_brand)", "half", "iif(p_size % 2 = 0, null, p_size)").apply("even", "is_null(half)", "odd", "iif(half is null, 0, half)")
+    return a.df.select("p_partkey", "ones", "no", "first", "even", F.col("odd").cast("int").alias("odd"))
+
+
+@query("SELECT o_orderkey, 3600::bigint AS off, o_orderdate AS wall, o_orderdate - INTERVAL 3600 SECOND AS gmt, o_orderdate + INTERVAL 7200 SECOND AS moved FROM orders")
+def offset_functions(t: Read):
+    a = orders(t).apply("off", "get_offset(append_offset(o_orderdate, 3600))", "wall", "strip_offset(append_offset(o_orderdate, 3600))", "gmt", "togmt(append_offset(o_orderdate, 3600))", "moved", "strip_offset(apply_offset(o_orderdate, 7200))")
+    return a.project("off", "wall", "gmt", "moved")
+
+
+@query("WITH c AS (SELECT x, exp(lgamma(21) - lgamma(x + 1) - lgamma(21 - x) + lgamma(81) - lgamma(11 - x) - lgamma(71 + x) - (lgamma(101) - lgamma(11) - lgamma(91))) AS p FROM range(0, 11) t(x)) SELECT p_partkey, round(p, 9) AS pmf, round((SELECT sum(p) FROM c d WHERE d.x <= c.x), 9) AS cdf FROM part JOIN c ON p_size % 11 = x")
+def hypergeometric(t: Read):
+    a = part(t).apply("x", "p_size % 11").apply("pmf", "hygepmf(x, 20, 80, 10)", "cdf", "hygecdf(x, 20, 80, 10)")
+    return a.df.select("p_partkey", F.round("pmf", 9).alias("pmf"), F.round("cdf", 9).alias("cdf"))
+
+
+@query("SELECT o_custkey, bool_or(FALSE) OR (o_custkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) d(d) WHERE d * d <= o_custkey AND o_custkey % d = 0)) AS prime FROM (SELECT DISTINCT o_custkey FROM orders) GROUP BY 1")
+def isprime(t: Read):
+    a = orders(t).apply("prime", "isprime(o_custkey)")
+    return a.df.select("o_custkey", "prime").distinct()
+
+
+# -- definitions, storage and formats
+
+
+def _store(t: Read) -> Store:
+    import uuid
+
+    from .plans.lineage import shared_dir
+
+    spark = t("region").sparkSession
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("SELECT * FROM (VALUES (0, 'p_name', 'string', true), (1, 'p_brand', 'string', true), (2, 'p_size', 'int32', true), (3, 'p_retailprice', 'double', true)) v(\"No\", name, type_id, nullable)")
+def attributes(t: Read):
+    return part(t).project("p_name", "p_brand", "p_size", "p_retailprice").attributes()
+
+
+@query("SELECT 0 AS \"No\", 'user_id' AS name, 0 AS start, 4611686018427387903 AS length, 100 AS chunk_interval, 0 AS chunk_overlap, min(user_id) AS low, max(user_id) AS high, 'int64' AS type FROM events UNION ALL SELECT 1, 'event_id', 0, 4611686018427387903, 10000, 0, min(event_id), max(event_id), 'int64' FROM events")
+def dimensions(t: Read):
+    return timeline(t).dimensions()
+
+
+@query("SELECT 0 AS i, '<value:double NULL> [user_id=0:*,100,0,event_id=0:*,10000,0]' AS schema")
+def show(t: Read):
+    return timeline(t).show()
+
+
+@query("SELECT * FROM (VALUES ('Kept', 1), ('Renamed', 2)) v(name, versions)")
+def definitions(t: Read):
+    """create, store, insert, rename, remove and list."""
+    from .lang import afl as language
+
+    store, a = _store(t), nation(t).project("n_name")
+    arrays = {"N": a}
+    for text in ("create array Gone <n_name:string null>[n_nationkey=0:24,25,0]", "store(N, Old)", "insert(N, Old)", "store(N, Kept)", "rename(Old, Renamed)", "remove(Gone)"):
+        language.run(text, arrays, store)
+    return language.run("list('arrays')", arrays, store).df.select("name", F.col("versions").cast("int").alias("versions"))
+
+
+@query("SELECT v.v AS \"VersionNo\", c_custkey, CASE WHEN v.v = 3 AND c_custkey % 3 = 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal FROM customer, (VALUES (1), (2), (3)) v(v) WHERE v.v > 1 OR c_custkey % 2 = 0")
+def allversions(t: Read):
+    """Three versions: a store and two inserts over it, all seen at once."""
+    store, a = _store(t), customer(t).project("c_acctbal")
+    store.store(a.filter("c_custkey % 2 = 0"), "C")
+    store.insert(a, "C")
+    store.insert(a.filter("c_custkey % 3 = 0").apply("b", "-c_acctbal").project("b").attribute_rename("b", "c_acctbal"), "C")
+    return store.allversions("C").df.withColumn("VersionNo", F.col("VersionNo").cast("int"))
+
+
+def _round_trip(t: Read, fmt: str):
+    """save, then input of the files."""
+    import uuid
+
+    from .plans.lineage import shared_dir
+    from .sources import files
+
+    a = customer(t).project("c_name", "c_acctbal").bounded()
+    path = f"{shared_dir(a.spark)}/saved-{uuid.uuid4().hex}"
+    a.save(path, -2, fmt)
+    return files.load_file(a.spark, a.schema, path, fmt)[0]
+
+
+_SAVED = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+
+@query(_SAVED)
+def save_load_sparse(t: Read):
+    return _round_trip(t, "sparse")
+
+
+@query(_SAVED)
+def save_load_dense(t: Read):
+    return _round_trip(t, "dense")
+
+
+@query(_SAVED)
+def save_load_opaque(t: Read):
+    return _round_trip(t, "opaque")
+
+
+@query("SELECT c_acctbal FROM customer")
+def save_load_csv(t: Read):
+    """Cells without coordinates: loaded, they're numbered in the files' order."""
+    import uuid
+
+    from .plans.lineage import shared_dir
+
+    a, store = customer(t).project("c_acctbal").bounded(), _store(t)
+    path = f"{shared_dir(a.spark)}/saved-{uuid.uuid4().hex}"
+    a.save(path, -2, "csv")
+    store.create("L", "<c_acctbal:double null>[i=0:*,1000,0]")
+    from .operators.catalogue import load
+
+    return load(store, "L", path, -2, "csv").df.select("c_acctbal")
+
+
+@query("SELECT event_id // 1000 AS event_id, sum(value) AS s FROM events WHERE event_id BETWEEN (SELECT min(event_id) + 5 FROM events) AND (SELECT max(event_id) - 5 FROM events) GROUP BY 1")
+def array_bounds(t: Read):
+    """low and high of an array as arguments of between."""
+    from .lang import afl as language
+
+    return language.run("regrid(between(E, low('E') + 5, high('E') - 5), 1000, sum(value) as s)", {"E": events(t).project("value")})
+
+
+@query("SELECT user_id, event_id, value FROM events")
+def stream_ingest(t: Read):
+    """All events as a stream of micro-batches into a versioned array."""
+    import uuid
+
+    from .plans.lineage import shared_dir
+    from .streaming import ingest
+
+    e, store = t("events").select("event_id", "user_id", "value"), _store(t)
+    e.write.parquet(f"{store.root}-in")
+    source = e.sparkSession.readStream.schema(e.schema).parquet(f"{store.root}-in")
+    ingest(source, store, "E", "<value:double null>[user_id=0:*,100,0, event_id=0:*,10000,0]", f"{shared_dir(store.spark)}/stream-{uuid.uuid4().hex}").awaitTermination()
+    return store.scan("E")

@@ -16,7 +16,7 @@ from ..sources.store import Store
 def ingest(stream: DataFrame, store: Store, name: str, schema: str | ArraySchema, checkpoint: str, *calls: str) -> StreamingQuery:
     """Each micro-batch is redimensioned and inserted as a new version; late cells replace earlier ones.
 
-    A batch that is run again after a failure writes the same cells, so the array doesn't change.
+    An insert writes the batch's cells only. A batch that is run again after a failure is known by its number and skipped.
     """
     to = parse_schema(schema) if isinstance(schema, str) else schema
     if not store.exists(name):
@@ -25,7 +25,7 @@ def ingest(stream: DataFrame, store: Store, name: str, schema: str | ArraySchema
     def one(batch: DataFrame, number: int) -> None:
         kinds = dict(batch.dtypes)
         flat = ArrayFrame.of(batch.withColumn("__row", F.monotonically_increasing_id()), ArraySchema(tuple(Attr(c, SPARK_TO_TYPE[kinds[c]], True) for c in batch.columns), (Dim("__row"),)))
-        store.insert(redimension(flat, to, *calls), name)
+        store.insert(redimension(flat, to, *calls), name, batch=f"{checkpoint}:{number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

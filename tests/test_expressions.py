@@ -20,6 +20,7 @@ CASES = {
     "pow(a, 2)": 49.0, "log(0.0)": -math.inf, "day_of_week(t)": 4, "hour_of_day(t)": 12, "strftime(t, '%B %d, %Y')": "April 12, 2012", "strftime(t, '%l:%M:%S %p')": "12:14:01 PM",
     "strftime(t, '%r')": "12:14:01 PM", "strftime(t, '%F')": "2012-04-12", "t - datetime('2012-04-12 12:14:00')": 1, "t + 59": dt.datetime(2012, 4, 12, 12, 15), "get_offset(append_offset(t, 3600))": 3600,
     "togmt(append_offset(t, 3600))": dt.datetime(2012, 4, 12, 11, 14, 1), "strip_offset(apply_offset(t, 60))": dt.datetime(2012, 4, 12, 12, 15, 1), "int32(d)": 2, "double(a)": 7.0, "string(a)": "7", "bool(0)": False,
+    "hygecdf(0.5, 100, 0, 1)": 0.0, "hygecdf(-1, 0, 1, 1)": 0.0, "hygecdf(1, 1, 0, 1)": 1.0, "hygequant(0.5, 1, 0, 1)": 1.0, "hygequant(0.2, 1, 1, 1)": 0.0, "isprime(999999999999999989)": True, "isprime(999999999999999991)": False, "isprime(n)": None,
     "isprime(a)": True, "isprime(9)": False, "fact(5)": 120, "re(complex(1, 2) * complex(3, 4))": -5.0, "i + 1": 1, "format(d, '%.2f')": "2.50",
 }
 

@@ -129,3 +129,52 @@ def test_introspection(spark):
     assert afl.run("op_distinct_count(a, v)", {"a": a}).df.first()["count"] == 4
     for text in ("mstat()", "diskinfo()", "hello_instances()", "instance_stats(a)", "setopt('spark.sql.shuffle.partitions')"):
         assert afl.run(text, {"a": a}).df.count() >= 1
+
+
+def test_inserts_write_their_own_cells_and_are_merged(spark, store):
+    from latticework.sources import store as module
+
+    a = literal(spark, "<v:int64>[i=0:*,1000,0]", "[(1)]")
+    big = type(a).of(spark.range(5000).selectExpr("id as i", "id as v"), a.schema)
+    store.store(big, "B")
+    size = lambda v: sum(f.stat().st_size for d in v["dirs"][:1] for f in (__import__("pathlib").Path(store.root) / "B" / d).glob("*.parquet"))
+    for k in range(module.DEPTH + 2):
+        store.insert(type(a).of(spark.createDataFrame([(k, 1000 + k), (6000 + k, 1)], "i long, v long"), a.schema), "B")
+    vs = store.versions("B")
+    assert size(vs[1]) < size(vs[0]) / 5 and len(vs[1]["dirs"]) == 2 and max(len(v["dirs"]) for v in vs) <= module.DEPTH + 1
+    got = {r["i"]: r["v"] for r in store.scan("B").df.collect()}
+    n = module.DEPTH + 2
+    assert len(got) == 5000 + n and all(got[k] == 1000 + k for k in range(n)) and got[4999] == 4999
+    assert store.scan("B", 1).df.count() == 5000
+    store.remove_versions("B", vs[-1]["id"])
+    assert store.scan("B").df.count() == 5000 + n
+
+
+def test_writers_that_die_or_meet(spark, store):
+    a = literal(spark, "<v:int64>[i=0:3,4,0]", "[(1),(2),(3),(4)]")
+    store.store(a, "C")
+    old = store.manifest("C")
+    store.insert(a, "C", batch="b:1")
+    store.insert(a, "C", batch="b:1")
+    assert len(store.versions("C")) == 2
+    with pytest.raises(ArrayError):
+        store._commit("C", old)
+    import os
+    import pathlib
+
+    broken = pathlib.Path(store._manifest("C", old["number"] + 9))
+    broken.write_text('{"schema"')
+    with pytest.raises(ArrayError):
+        store.manifest("C")  # may still be written
+    os.utime(broken, (1e9, 1e9))
+    assert len(store.versions("C")) == 2
+    store.insert(a, "C")
+    assert len(store.versions("C")) == 3
+
+
+def test_bounds_of_arrays_in_queries(spark, store):
+    store.store(literal(spark, "<a:double>[x=0:5,3,0]", "{1}(1.0){2}(2.0){3}(3.0)"), "dense")
+    got = afl.run("between(dense, first_index('dense','x') + 2, last_index('dense', 'x') - 2)", store=store)
+    assert sorted(r["x"] for r in got.df.collect()) == [2, 3]
+    got = afl.run("apply(dense, y, high('dense') - low('dense', 'x') + length('dense', 'x'))", store=store)
+    assert {r["y"] for r in got.df.collect()} == {8}
