@@ -20,6 +20,8 @@ in signature, yet mostly not similar) meet by an exact prefix join instead: a se
 are ordered by how rare they are, and two sets of similarity t share one of the first few of them, early enough to
 leave room for the wanted overlap (Xiao et al. 2008, "PPJoin"). Rareness is a table of hashed counts of a fixed size; any one order
 keeps the join exact. So no link between components is missed, and documents that share a template but no link cost no pairs.
+A token that would join more than ``HOT_PAIRS`` pairs (many near copies of one text, some of them outside the main component) isn't
+joined: the sets that share such tokens form groups, and what lies outside a group's main component is held in blocks by which the group's texts pass.
 """
 
 from __future__ import annotations
@@ -205,9 +207,26 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int, per_cent: int) ->
     return texts.select("rep", "label", "text").mapInArrow(run, "token long, rep long, label long, size long, place long, short boolean")
 
 
+#: Pairs of rows of different labels that a token may give to the join; costlier tokens' sets meet in blocks.
+HOT_PAIRS = 1 << 16
+#: Members of a group's main component that all others meet first, and how often, before they meet every member.
+HEADS, ROUNDS = 64, 3
+#: Shingles of the sets that a task holds, and bytes of the texts that pass them.
+HELD, PASSING = 1 << 21, 8 << 20
+
+
+def token_costs(rows: DataFrame) -> DataFrame:
+    """(token, pairs) of the tokens with several labels: pairs of a row outside the token's main label with any row."""
+    n = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("top")).where("top < n")
+    return n.select("token", F.expr("(n - top) * n").alias("pairs"))
+
+
 def prefix_join(texts: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Pairs (a, b) of different labels among (rep, label, text) that may have the similarity: every such pair that has it, and few others."""
-    rows = written(prefixes(texts, rareness(texts, width), width, per_cent), "prefixes")
+    return _prefix_pairs(written(prefixes(texts, rareness(texts, width), width, per_cent), "prefixes"), per_cent)
+
+
+def _prefix_pairs(rows: DataFrame, per_cent: int) -> DataFrame:
     x = rows.where("short").select("token", *(F.col(c).alias("x_" + c) for c in ("rep", "label", "size", "place")))
     y = rows.select("token", *(F.col(c).alias("y_" + c) for c in ("rep", "label", "size", "place")))
     # the sets' order by size, the least size, and room for the overlap after the place where they meet
@@ -216,6 +235,76 @@ def prefix_join(texts: DataFrame, width: int, per_cent: int) -> DataFrame:
     return x.join(y, "token").where(fits).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
+def _met(few: DataFrame, all_: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Links (a, b, la, lb) on the full sets between (rep, group, label) ``few`` and ``all_``: for every a, one with each other label of a block.
+
+    Blocks of HELD shingles of the one side meet blocks of PASSING bytes of the other, each pair of a group once; the overlaps
+    of a set with all that are held are counted together.
+    """
+    own = few.join(texts.select("rep", "text"), "rep").withColumn("size", F.octet_length("text").cast("long"))
+    other = all_.join(texts.select("rep", "text"), "rep").withColumn("size", F.octet_length("text").cast("long"))
+    parts = lambda df, most, name: df.groupBy("group").agg(F.ceil(F.sum("size") / most).cast("int").alias(name))
+    # a shingle takes two bytes of text at least
+    cut = parts(own, 2 * HELD, "h").join(parts(other, PASSING, "k"), "group").select("group", F.greatest("h", F.lit(1)).alias("h"), F.greatest("k", F.lit(1)).alias("k"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    left = own.join(cut, "group").withColumn("i", part("h")).withColumn("j", each("k")).select("group", "i", "j", "rep", "label", "text")
+    right = other.join(cut, "group").withColumn("j", part("k")).withColumn("i", each("h")).select("group", "i", "j", "rep", "label", "text").toDF("group_", "i_", "j_", "rep", "label", "text")
+
+    def run(held: pa.Table, passing: pa.Table) -> pa.Table:
+        sets = [shingles(x.as_buffer(), width) for x in held.column("text")]
+        out: list[tuple[int, int, int, int]] = []
+        if sets and passing.num_rows:
+            reps, labels = (held.column(c).to_numpy() for c in ("rep", "label"))
+            sizes, tokens = np.array([len(x) for x in sets]), np.concatenate(sets)
+            order = np.argsort(tokens)
+            owner = np.repeat(np.arange(len(sets)), sizes)[order]
+            known, first = np.unique(tokens[order], return_index=True)
+            first = np.append(first, len(tokens))
+            linked: set[tuple[int, int]] = set()
+            for rep, label, x in zip(passing.column("rep").to_pylist(), passing.column("label").to_pylist(), passing.column("text")):
+                h = shingles(x.as_buffer(), width)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                at = at[known[at] == h]
+                n = first[at + 1] - first[at]
+                common = np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+                for q in np.flatnonzero((common > 0) & (labels != label) & (100 * common >= per_cent * (sizes + len(h) - common))).tolist():
+                    if (q, label) not in linked:
+                        linked.add((q, label))
+                        out.append((int(reps[q]), rep, int(labels[q]), label))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["a", "b", "la", "lb"])
+
+    return left.groupBy("group", "i", "j").cogroup(right.groupBy("group_", "i_", "j_")).applyInArrow(run, "a long, b long, la long, lb long")
+
+
+def block_links(rows: DataFrame, texts: DataFrame, width: int, per_cent: int) -> list[DataFrame]:
+    """Links (a, b) that join all similar sets of different labels that share one of the tokens of ``rows``.
+
+    Sets that share tokens, over any number of steps, are a group. Whatever lies outside a group's main component meets some
+    of its members, then, if still outside, all of the group: so what the last, exact meeting costs is the sets without a link to most others.
+    """
+    heads = rows.groupBy("token").agg(F.min("rep").alias("head"))
+    groups = components(rows.join(heads, "token").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
+    now = written(groups.toDF("rep", "group").join(rows.select("rep", "label").distinct(), "rep"), "groups")
+    found = []
+    for i in range(ROUNDS + 1):
+        sizes = now.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.groupBy("group").agg(F.max(F.struct("n", "label")).alias("x")).select("group", F.col("x.label").alias("main"), F.col("x.n").alias("n"))
+        placed = now.join(top, "group")
+        few = placed.where("label <> main").select("rep", "group", "label")
+        if few.isEmpty():
+            break
+        members = placed.where(F.pmod(F.xxhash64("rep", F.lit(i)), F.col("n")) < HEADS).where("label = main") if i < ROUNDS else placed
+        links = written(_met(few, members.select("rep", "group", "label"), texts, width, per_cent), "links")
+        found.append(links.select("a", "b"))
+        roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        then = written(now.join(roots.toDF("label", "root"), "label", "left").select("rep", "group", F.coalesce("root", "label").alias("label")), "groups")
+        dropped(now)
+        now = then
+    dropped(now)
+    return found
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets are similar: doc_id, n_shingles, component_id, kept.
 
@@ -248,9 +337,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
     crowd = open_.where(f"n > {CROWD}").select("rep", "label").distinct()
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = written(sifted(named, crowd.select(F.col("rep").alias("doc_id"))).join(crowd.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "label", "text"), "crowd")
-    cross = near.unionByName(prefix_join(texts, width, per_cent)).distinct()
+    prefix = written(prefixes(texts, rareness(texts, width), width, per_cent), "prefixes")
+    costs = written(token_costs(prefix), "costs")
+    cold, hot = (prefix.join(costs.where(f"pairs {sign} {HOT_PAIRS}").select("token"), "token") for sign in ("<=", ">"))
+    cross = near.unionByName(_prefix_pairs(cold, per_cent)).distinct()
     second = written(_distances(cross, classes).where(possible), "cross")
     more = written(confirmed(second, docs, width, per_cent), "more")
+    for links in block_links(written(hot, "hot"), texts, width, per_cent):
+        more = more.unionByName(links)
 
     named = rows.join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
     several = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
@@ -260,7 +354,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80) -> Data
     for c in ("a", "b"):
         late = late.join(roots.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
     top = components(late.select("a", "b"))
-    for x in (members, stars, open_, texts, second):
+    for x in (members, stars, open_, texts, prefix, second):
         dropped(x)
     found = named.join(roots.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(top.toDF("label", "root"), "label", "left")
     component = F.coalesce("root", "label", "doc_id")

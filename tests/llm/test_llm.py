@@ -325,6 +325,30 @@ def test_crowded_buckets_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == roots and len(set(roots)) > 50
 
 
+def test_hot_tokens_meet_in_blocks(spark, monkeypatch):
+    """Near copies of one text, some outside the main component: costly tokens aren't joined, links are those of brute force."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        t = list(base)
+        for k in r.sample(range(150), 2 + i % 13):
+            t[k] = f"e{r.randrange(2000)}"
+        texts.append(" ".join(t))
+    joined, met = [], []
+    pairs, blocks = minhash._prefix_pairs, minhash.block_links
+    monkeypatch.setattr(minhash, "HOT_PAIRS", 50)
+    monkeypatch.setattr(minhash, "HEADS", 4)
+    monkeypatch.setattr(minhash, "HELD", 2000)
+    monkeypatch.setattr(minhash, "PASSING", 20_000)
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda rows, p: joined.append(minhash.token_costs(rows).agg(F.max("pairs")).first()[0] or 0) or pairs(rows, p))
+    monkeypatch.setattr(minhash, "block_links", lambda *a: met.append(blocks(*a)) or met[0])
+    _, roots = _brute(texts, 2)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == roots and len(set(roots)) > 2
+    assert joined[0] <= 50 and met[0]
+
+
 def test_near_duplicates_awkward(spark):
     got = minhash.near_duplicates(awkward(spark), 2)
     rows = got.collect()
