@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import ArrayFrame
@@ -71,21 +76,86 @@ def _turned(a: ArrayFrame) -> ArrayFrame:
 
 #: The shorter side of a matrix for gesvd; its Gram matrix is what reaches the driver.
 SVD_SIDE = 2000
+#: Cells of the dense rows that a task multiplies at once.
+STRIP = 1 << 20
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """Cells (r, c, v) as rows (r, c, v) of packed ints and doubles, those of one r beside each other; a row, not its cells, is shuffled and sorted."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            r = part.column(0).to_numpy()
+            if not len(r):
+                continue
+            order = np.argsort(r, kind="stable")
+            r, c, v = r[order], part.column(1).to_numpy()[order].astype("<i4").tobytes(), part.column(2).to_numpy()[order].astype("<f8").tobytes()
+            at = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(r)).tolist()
+            spans = list(zip(at, at[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(r[at[:-1]]), pa.array([c[4 * x : 4 * y] for x, y in spans], pa.binary()), pa.array([v[8 * x : 8 * y] for x, y in spans], pa.binary())], names=["r", "c", "v"])
+
+    known = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("double").alias("v")).where("v is not null")
+    return known.mapInArrow(run, "r long, c binary, v binary").repartition("r").sortWithinPartitions("r")
+
+
+def _strips(n: int):
+    """A function from batches of ``_packed`` to (ids, dense rows of n columns), each row once."""
+    most = max(1, STRIP // max(n, 1))
+
+    def strips(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids: list[int] = []
+        x = np.zeros((most, n))
+        for part in parts:
+            for r, c, v in zip(*(part.column(k).to_pylist() for k in range(3))):
+                if not ids or ids[-1] != r:
+                    if len(ids) == most:
+                        yield np.array(ids), x
+                        ids, x = [], np.zeros((most, n))
+                    ids.append(r)
+                np.add.at(x[len(ids) - 1], np.frombuffer(c, "<i4"), np.frombuffer(v, "<f8"))
+        if ids:
+            yield np.array(ids), x[: len(ids)]
+
+    return strips
+
+
+def _gram(rows: DataFrame, n: int) -> np.ndarray:
+    """Sums of the products of each two columns: a matrix a task, at most SVD_SIDE ** 2 sums."""
+    strips = _strips(n)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((n, n))
+        for _, x in strips(parts):
+            g += x.T @ x
+        for c in range(n):
+            d = np.flatnonzero(g[c])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), c, np.int32)), pa.array(d.astype(np.int32)), pa.array(g[c, d])], names=["c", "d", "g"])
+
+    got = rows.mapInArrow(run, "c int, d int, g double").groupBy("c", "d").agg(F.sum("g").alias("g")).toArrow()
+    g = np.zeros((n, n))
+    g[got.column("c").to_numpy(), got.column("d").to_numpy()] = got.column("g").to_numpy()
+    return (g + g.T) / 2
 
 
-@register_op("gesvd", "gesvd(matrix, 'U'|'S'|'VT')", "linear algebra")
-def gesvd(a: ArrayFrame, factor: str) -> ArrayFrame:
-    """One factor of the singular value decomposition; absent cells count as 0.
+def row_product(cells: DataFrame, basis: np.ndarray, names: list[int] | None = None) -> DataFrame:
+    """(r, q, x): the rows of the cells (r, c, v), c from 0, times a matrix of at most SVD_SIDE ** 2 numbers that all workers get; q names its columns.
 
-    The Gram matrix of the shorter side (at most SVD_SIDE) is summed in Spark and solved on the
-    driver; the other side's vectors are a distributed product with it. Each pair of vectors has the
-    sign that makes the largest component of the shorter side's positive.
+    Absent cells count as 0; every row with a cell gives all columns. Only packed rows are shuffled, not products.
     """
-    import numpy as np
+    n, k = basis.shape
+    strips = _strips(n)
+    shared = cells.sparkSession.sparkContext.broadcast((basis, np.arange(k) if names is None else np.array(names, np.int64)))
 
-    which = factor.strip("'\"").upper()
-    need(which in ("U", "S", "VT", "LEFT", "VALUES", "RIGHT"), "gesvd: the factor is U, S or VT")
-    which = {"LEFT": "U", "VALUES": "S", "RIGHT": "VT"}.get(which, which)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, q = shared.value
+        for ids, x in strips(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(np.tile(q, len(ids))), pa.array((x @ b).ravel())], names=["r", "q", "x"])
+
+    return _packed(cells).mapInArrow(run, "r long, q long, x double")
+
+
+def svd(a: ArrayFrame) -> tuple[ArrayFrame, ArrayFrame, ArrayFrame]:
+    """U, S and VT of the singular value decomposition, as ``gesvd`` gives them one by one, from one Gram matrix."""
     i, j, x = _matrix(a, "gesvd")
     need(i.hi is not None and j.hi is not None, "gesvd: a dimension is unbounded")
     wide = j.length > i.length  # then work on the transpose
@@ -93,32 +163,36 @@ def gesvd(a: ArrayFrame, factor: str) -> ArrayFrame:
     n = cols.length
     need(n <= SVD_SIDE, f"gesvd: the shorter side is beyond {SVD_SIDE}")
     cells = a.df.select((F.col(f"`{rows.name}`") - F.lit(rows.lo)).alias("r"), (F.col(f"`{cols.name}`") - F.lit(cols.lo)).cast("int").alias("c"), F.col(f"`{x}`").cast("double").alias("v"))
-    other = cells.select("r", F.col("c").alias("d"), F.col("v").alias("w"))
-    gram = cells.join(other, "r").groupBy("c", "d").agg(F.sum(F.col("v") * F.col("w")).alias("g")).toArrow()  # at most SVD_SIDE ** 2 rows
-    g = np.zeros((n, n))
-    g[gram.column("c").to_numpy(), gram.column("d").to_numpy()] = gram.column("g").to_numpy()
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    values, vectors = np.linalg.eigh(_gram(_packed(cells), n)) if n else (np.zeros(0), np.zeros((0, 0)))
     order = np.argsort(-values)
     sigma, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    v = v * np.where(v[np.argmax(np.abs(v), axis=0), np.arange(n)] < 0, -1.0, 1.0)
+    if n:
+        v = v * np.where(v[np.argmax(np.abs(v), axis=0), np.arange(n)] < 0, -1.0, 1.0)
     k = Dim("i", 0, n - 1, max(1, min(n, i.chunk)))
     spark = a.spark
-    if which == "S":
-        df = spark.createDataFrame([(p, float(s)) for p, s in enumerate(sigma)], "i bigint, sigma double")
-        return ArrayFrame(df, ArraySchema((Attr("sigma", "double"),), (k,), a.schema.name))
-    short = (which == "VT") != wide
-    name = "u" if which == "U" else "v"
-    if short:
-        rows_of = [(int(p) + cols.lo, q, float(v[p, q])) for p in range(n) for q in range(n)]
-        df = spark.createDataFrame(rows_of, "p bigint, q bigint, x double")
-        long_dim = cols
-    else:
-        keep = [q for q in range(n) if sigma[q] > 1e-12 * max(sigma[0], 1e-300)]
-        basis = spark.createDataFrame([(p, q, float(v[p, q] / sigma[q])) for p in range(n) for q in keep], "c int, q bigint, y double")
-        df = cells.join(basis, "c").groupBy("r", "q").agg(F.sum(F.col("v") * F.col("y")).alias("x")).select((F.col("r") + F.lit(rows.lo)).alias("p"), "q", "x")
-        long_dim = rows
-    if which == "U":
-        d = Dim(fresh("i", [long_dim.name]), 0, n - 1, k.chunk)
-        return ArrayFrame(df.select(F.col("p").alias(long_dim.name), F.col("q").alias(d.name), F.col("x").alias(name)), ArraySchema((Attr(name, "double"),), (long_dim, d), a.schema.name))
-    d = Dim(fresh("i", [long_dim.name]), 0, n - 1, k.chunk)
-    return ArrayFrame(df.select(F.col("q").alias(d.name), F.col("p").alias(long_dim.name), F.col("x").alias(name)), ArraySchema((Attr(name, "double"),), (d, long_dim), a.schema.name))
+    s = ArrayFrame(spark.createDataFrame([(p, float(y)) for p, y in enumerate(sigma)], "i bigint, sigma double"), ArraySchema((Attr("sigma", "double"),), (k,), a.schema.name))
+    short = spark.createDataFrame([(p + cols.lo, q, float(v[p, q])) for p in range(n) for q in range(n)], "p bigint, q bigint, x double")
+    keep = [q for q in range(n) if sigma[q] > 1e-12 * max(sigma[0], 1e-300)]
+    long = row_product(cells, v[:, keep] / sigma[keep], keep).select((F.col("r") + F.lit(rows.lo)).alias("p"), "q", "x")
+
+    def factor(df: DataFrame, side: Dim, name: str) -> ArrayFrame:
+        d = Dim(fresh("i", [side.name]), 0, n - 1, k.chunk)
+        dims = (side, d) if name == "u" else (d, side)
+        columns = {side.name: "p", d.name: "q"}
+        return ArrayFrame(df.select(*(F.col(columns[z.name]).alias(z.name) for z in dims), F.col("x").alias(name)), ArraySchema((Attr(name, "double"),), dims, a.schema.name))
+
+    left, right = (short, long) if wide else (long, short)
+    return factor(left, i, "u"), s, factor(right, j, "v")
+
+
+@register_op("gesvd", "gesvd(matrix, 'U'|'S'|'VT')", "linear algebra")
+def gesvd(a: ArrayFrame, factor: str) -> ArrayFrame:
+    """One factor of the singular value decomposition; absent cells count as 0.
+
+    The Gram matrix of the shorter side (at most SVD_SIDE) is summed in Spark and solved on the
+    driver; the other side's vectors are a distributed product with it. Each pair of vectors has the
+    sign that makes the largest component of the shorter side's positive.
+    """
+    which = factor.strip("'\"").upper()
+    need(which in ("U", "S", "VT", "LEFT", "VALUES", "RIGHT"), "gesvd: the factor is U, S or VT")
+    return svd(a)[{"U": 0, "LEFT": 0, "S": 1, "VALUES": 1}.get(which, 2)]

@@ -228,3 +228,24 @@ IDENTITIES = [("transpose(transpose(m4))", "m4"), ("reverse(reverse(m4))", "m4")
 @pytest.mark.parametrize(("left", "right"), IDENTITIES)
 def test_identities(A, left, right):
     assert rows(afl.run(left, A)) == rows(afl.run(right, A))
+
+
+def test_singular_vectors_multiply_rows_and_not_cells(spark, monkeypatch):
+    """Sparse and wide or long, in small strips: no join of cells, nor an aggregate of their products."""
+    import numpy as np
+
+    from latticework.operators import linalg
+
+    monkeypatch.setattr(linalg, "STRIP", 12)
+    for high, wide in ((40, 5), (5, 40)):
+        m = build(spark, f"<v:double>[ii=0:{high - 1},7,0, jj=0:{wide - 1},7,0]", "ii*ii%7 + jj*ii%5 + jj").filter("(ii + 2*jj) % 3 <> 0")
+        x = np.zeros((high, wide))
+        for ii, jj, y in rows(m):
+            x[ii, jj] = y
+        u, s, v = np.zeros((high, 5)), np.zeros(5), np.zeros((5, wide))
+        for f, out in zip(linalg.svd(m), (u, s, v)):
+            for *at, y in rows(f):
+                out[tuple(at)] = y
+        assert np.allclose(s, np.linalg.svd(x)[1], atol=1e-6) and np.allclose(u * s @ v, x, atol=1e-6)
+        plan = m.gesvd("VT" if wide > high else "U").df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
