@@ -11,10 +11,13 @@ bytes as 8-bit grey samples, for round trips.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,103 +57,132 @@ def packbits_decode(data: bytes, limit: int = MOST_BYTES) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{1,127}", re.DOTALL)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i
-        while j + 1 < n and data[j + 1] == data[i] and j - i < 127:
-            j += 1
-        if j > i:
-            out += bytes([257 - (j - i + 1), data[i]])
-            i = j + 1
-            continue
-        j = i
-        while j + 1 < n and j - i < 127 and data[j + 1] != data[j]:
-            j += 1
-        if j + 1 < n and j > i and data[j + 1] == data[j]:
-            j -= 1
-        out += bytes([j - i]) + data[i : j + 1]
-        i = j + 1
+    """Runs of 2 to 128 equal bytes, and what lies between them in pieces of at most 128."""
+    out, at = bytearray(), 0
+    for run in _RUN.finditer(data):
+        start, end = run.span()
+        for i in range(at, start, 128):
+            piece = data[i : min(i + 128, start)]
+            out.append(len(piece) - 1)
+            out += piece
+        out.append(257 - (end - start))
+        out.append(data[start])
+        at = end
+    for i in range(at, len(data), 128):
+        piece = data[i : i + 128]
+        out.append(len(piece) - 1)
+        out += piece
     return bytes(out)
 
 
-def lzw_decode(data: bytes, limit: int = MOST_BYTES) -> bytes:
-    """MSB-first codes of 9 to 12 bits, early change, 256 clears and 257 ends."""
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, size, bits, held, width, last = [], 0, 0, 0, 9, None
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            del table[258:]
-            width, last = 9, None
+#: Bits of the k-th LZW code after a clear, and of all codes when the table is full; codes that are cut out together.
+_GROWING = np.array([min(12, (k + 258).bit_length()) for k in range(4096)])
+_FULL = np.full(4096, 12)
+_ENDS = {True: np.cumsum(_FULL), False: np.cumsum(_GROWING)}
+#: Codes between two clears of the encoder, the second clear with them.
+_SEGMENT = 3837
+
+
+def _codes(padded: np.ndarray, bit: int, full: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole codes from ``bit`` on, after a clear or of a full table, a table's or ``most`` at most, and where each ends; three bytes of padding follow the data."""
+    ends = bit + _ENDS[full][:most]
+    ends = ends[: ends.searchsorted(8 * (len(padded) - 3), side="right")]
+    widths = (_FULL if full else _GROWING)[: len(ends)]
+    begins = ends - widths
+    byte = begins >> 3
+    held = padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]
+    return held >> (24 - (begins & 7) - widths) & ((1 << widths) - 1), ends
+
+
+_LITERALS = [bytes([i]) for i in range(256)]
+
+
+def _expanded(codes: list[int], skip: int, room: int) -> tuple[bytes, bool]:
+    """What the codes after a clear give from the skip-th on, up to the first that fills room; whether a bad code comes before that.
+
+    The entry of the k-th code and the byte after it has number 258 + k, so each code is a literal, or another's string and a byte.
+    """
+    out: list[bytes] = []
+    put, bad = out.append, False
+    for code in codes:
+        if code < 256:
+            put(_LITERALS[code])
             continue
-        if last is None:
-            if code >= 256:
-                raise TiffError("bad LZW code")
-            s = table[code]
-        else:
-            if code < len(table):
-                s = table[code]
-            elif code == len(table):
-                s = last + last[:1]
-            else:
-                raise TiffError("bad LZW code")
-            table.append(last + s[:1])
-        out.append(s)
-        size += len(s)
-        if size >= limit:
-            break
-        last = s
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-    return b"".join(out)
+        try:
+            put(out[code - 258] + out[code - 257][:1])
+        except IndexError:
+            # the entry that this very code completes, or none
+            if not out or code != 257 + len(out):
+                bad = True
+                break
+            put(out[-1] + out[-1][:1])
+    given = b"".join(out[skip:] if skip else out)
+    if given and len(given) >= room:
+        ends = list(accumulate(map(len, out[skip:])))
+        return given[: ends[bisect_left(ends, room)]], False
+    return given, bad
+
+
+def lzw_decode(data: bytes, limit: int = MOST_BYTES) -> bytes:
+    """MSB-first codes of 9 to 12 bits, early change, 256 clears and 257 ends; codes up to the next clear are expanded together."""
+    padded = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
+    out, bit, size = [], 0, 0
+    seen: list[int] = []  # since the last clear; more than a full table's aren't kept
+    while True:
+        codes, ends = _codes(padded, bit, bool(seen), max(limit - size, 0) + 1)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stops[0]) if len(stops) else len(codes)
+        own = seen + codes[:n].tolist()
+        given, bad = _expanded(own, len(seen), limit - size)
+        if bad:
+            raise TiffError("bad LZW code")
+        out.append(given)
+        size += len(given)
+        if n and size >= limit or not len(codes) or len(stops) and codes[n] == 257:
+            return b"".join(out)
+        seen = [] if len(stops) else own[: len(_GROWING)]
+        bit = int(ends[min(n, len(ends) - 1)])
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-    table: dict[bytes, int] = {}
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    def fresh() -> None:
-        nonlocal width, table
-        put(256)
-        width, table = 9, {bytes([i]): i for i in range(256)} | {b"\0clear": 256, b"\0end": 257}
-
-    fresh()
-    s = b""
-    for i in range(len(data)):
-        t = s + data[i : i + 1]
-        if t in table:
-            s = t
-            continue
-        put(table[s])
-        table[t] = len(table)
-        if len(table) == 4094:
-            fresh()
-        elif len(table) + 1 > 1 << width:
-            width += 1
-        s = data[i : i + 1]
-    if s:
-        put(table[s])
-        if len(table) + 2 > 1 << width and width < 12:
-            width += 1
+    codes = [256]
+    put, n = codes.append, 258
+    # a string is a node: its code at -1 and the longer strings by their last byte
+    if data:
+        top = {data[0]: (node := {-1: data[0]})}
+        for b in memoryview(data)[1:]:
+            longer = node.get(b)
+            if longer is not None:
+                node = longer
+                continue
+            put(node[-1])
+            node[b] = {-1: n}
+            n += 1
+            if n == 4094:
+                put(256)
+                top, n = {}, 258
+            node = top.get(b)
+            if node is None:
+                node = top[b] = {-1: b}
+        put(node[-1])
     put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    # every code but the first has the bits of its place after a clear
+    n = len(codes) - 1
+    widths = np.empty(n + 1, np.int64)
+    widths[0], widths[1:] = 9, _GROWING[:n] if n <= _SEGMENT else _GROWING[np.arange(n) % _SEGMENT]
+    ends = np.cumsum(widths)
+    begins = ends - widths
+    held, byte = np.array(codes) << (24 - (begins & 7) - widths), begins >> 3
+    size = int(ends[-1] + 7) // 8
+    out = np.zeros(size + 2, np.uint8)
+    # no two codes begin in one byte
+    for k, shift in enumerate((16, 8, 0)):
+        out[byte + k] |= (held >> shift & 255).astype(np.uint8)
+    return out[:size].tobytes()
 
 
 def _decoded(data: bytes, codec: int, limit: int) -> bytes:

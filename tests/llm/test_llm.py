@@ -710,6 +710,25 @@ def test_coded(spark, codec):
 # -- 9 TIFF
 
 
+def test_lzw_codes_are_cut_out_together(monkeypatch):
+    """Encoded bytes as they were; the decoder cuts out a table's codes at once, not bit by bit; full tables, clears and bad codes."""
+    r = random.Random(5)
+    data = b"".join(r.choice([b"lattice ", b"work ", b"aaaa", b"\0" * 9, r.randbytes(5)]) for _ in range(9000))
+    kept = tiff.lzw_encode(data)
+    assert hashlib.sha256(kept).hexdigest() == "756abf6c39a2becd984f235096adf21c1766a82124b5a51dba452a27a0c7c2b0"
+    assert hashlib.sha256(tiff.packbits_encode(data)).hexdigest() == "53c6d7e8c8233fa01c2fc53017781390aba4b7cc058744715992bb4fd7149231"
+    cuts, cut = [], tiff._codes
+    monkeypatch.setattr(tiff, "_codes", lambda *a: cuts.append(1) or cut(*a))
+    assert tiff.lzw_decode(kept) == data and len(cuts) < 12
+    for n in (3834, 3835, 3836, 3837, 7673):
+        some = r.randbytes(n)
+        assert tiff.lzw_decode(tiff.lzw_encode(some)) == some
+    # 9-bit codes without a clear, then one that no entry has
+    assert tiff.lzw_decode((65 << 7).to_bytes(2, "big")) == b"A"
+    with pytest.raises(tiff.TiffError):
+        tiff.lzw_decode((65 << 23 | 300 << 14).to_bytes(4, "big"))
+
+
 def test_codecs_round_trip():
     r = random.Random(2)
     cases = [b"", b"a", b"aa", b"ab" * 300, bytes(5000), bytes(r.randrange(256) for _ in range(20000)), bytes(r.choice(b"ab") for _ in range(30000)), b"x" * 129 + b"yz" + b"q" * 128]
